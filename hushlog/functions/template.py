@@ -7,61 +7,79 @@ from pyspark.sql import functions as F
 
 from hushlog.options import Options
 
+# Private-use characters that fence a recognised token while a message is rewritten.
+_OPEN, _STAR, _CLOSE = "\ue001", "\ue002", "\ue003"
+
 # What counts as a volatile token, tried in this order at each position of the
 # message, with its wildcard and the option that switches it on.  A token that matches is consumed
 # whole, so a later pattern never sees part of it; plain numbers are consumed but kept.
+# Named groups catch the one piece of text that tells the tokens apart afterwards.
 _HEX = "[0-9a-fA-F]"
 _WORD = "[A-Za-z0-9_.]"
 _FLOAT = "-?[0-9]++(?:\\.[0-9]++)?+"
 _INT = "-?[0-9]++"
 TOKENS = (
     (
-        f"(?<!{_HEX}){_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}(?!{_HEX})",
+        f"(?<!{_HEX}){_HEX}{{8}}(?<dash>-){_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}(?!{_HEX})",
+        f"{_STAR}-",
         "*UUID*",
         "normalize_uuids",
     ),
-    (f"@{_HEX}{{6,16}}+", "@*", "normalize_addresses"),
+    (f"(?<at>@){_HEX}{{6,16}}+", f"@{_STAR}", "@*", "normalize_addresses"),
     (
-        f"(?<!{_WORD})\\({_FLOAT}, *{_FLOAT}, *{_FLOAT}\\)",
+        f"(?<!{_WORD})(?<round>\\(){_FLOAT}, *{_FLOAT}, *{_FLOAT}\\)",
+        f"({_STAR}",
         "(*, *, *)",
         "normalize_coordinates",
     ),
-    (f"\\[{_INT}, *{_INT}\\]", "[*, *]", "normalize_coordinates"),
-    (f"{_FLOAT}ms", "*ms", "normalize_timings"),
-    (f"{_FLOAT} tick", "* tick", "normalize_timings"),
     (
-        f"(?<!{_WORD})-?[0-9]++\\.[0-9]++(?!{_WORD})(?:, *{_FLOAT}(?:, *{_FLOAT})?+)?+",
+        f"(?<square>\\[){_INT}, *{_INT}\\]",
+        f"[{_STAR}",
+        "[*, *]",
+        "normalize_coordinates",
+    ),
+    (f"{_FLOAT}(?<ms>ms)", f"{_STAR}ms", "*ms", "normalize_timings"),
+    (f"{_FLOAT}(?<tick> tick)", f"{_STAR} tick", "* tick", "normalize_timings"),
+    (
+        f"(?<!{_WORD})-?[0-9]++(?<dot>\\.)[0-9]++(?!{_WORD})(?:, *{_FLOAT}(?:, *{_FLOAT})?+)?+",
+        f"{_STAR}.",
         "*",
         "normalize_coordinates",
     ),
+    (f"(?<number>{_FLOAT})", _STAR, "", None),
 )
+_BEFORE_STAR = ("at", "round", "square")
+_AFTER_STAR = ("dash", "ms", "tick", "dot")
 
 # Messages without any of these are their own template.
 _MAY_HOLD_TOKENS = f"[0-9@]|{_HEX}{{8}}-{_HEX}{{4}}-"
-
-
-def _mark(i: int) -> str:
-    # private-use characters fence the slots of a match
-    return chr(0xE001 + i)
+# Every token starts with one of these; spares the scan most positions.
+_TOKEN_START = f"(?=[-0-9@(\\[]|{_HEX}{{8}}-)"
 
 
 def template(message: Column, opts: Options) -> Column:
     """Message with its volatile tokens replaced; null becomes the empty string.
 
-    One scan rewrites every match as ``mark1 group1 mark2 group2 ...`` where only the group of the
-    pattern that matched has text; then each slot with text becomes its wildcard.
+    One scan fences every token and keeps only the text that names its kind; plain string
+    replacement then turns each kind into its wildcard.  Fence characters already present in a
+    message that holds tokens are dropped.
     """
     text = F.coalesce(message, F.lit(""))
-    active = [(pattern, wildcard) for pattern, wildcard, option in TOKENS if getattr(opts, option)]
-    if not active:
+    active = [token for token in TOKENS if token[3] is None or getattr(opts, token[3])]
+    if len(active) == 1:
         return text
-    groups = [f"({pattern})" for pattern, _ in active] + [f"({_FLOAT})"]
-    marks = "".join(_mark(i) for i in range(len(groups)))
-    slots = "".join(f"{_mark(i)}${i + 1}" for i in range(len(groups)))
-    result = F.regexp_replace(F.translate(text, marks, ""), "|".join(groups), slots)
-    for i, (_, wildcard) in enumerate(active):
-        result = F.regexp_replace(result, f"{_mark(i)}[^{_mark(i + 1)}]+", wildcard)
-    result = F.translate(result, marks, "")
+    scan = _TOKEN_START + "(?:" + "|".join(token[0] for token in active) + ")"
+
+    def kept(names: tuple[str, ...]) -> str:
+        return "".join(f"${{{name}}}" for name in names if f"(?<{name}>" in scan)
+
+    fenced = kept(("number",)) + _OPEN + kept(_BEFORE_STAR) + _STAR + kept(_AFTER_STAR) + _CLOSE
+    fences = _OPEN + _STAR + _CLOSE
+    has_fence = text.contains(_OPEN) | text.contains(_STAR) | text.contains(_CLOSE)
+    clean = F.when(has_fence, F.translate(text, fences, "")).otherwise(text)
+    result = F.regexp_replace(clean, scan, fenced)
+    for _, kind, wildcard, _ in active:
+        result = F.replace(result, F.lit(_OPEN + kind + _CLOSE), F.lit(wildcard))
     return F.when(text.rlike(_MAY_HOLD_TOKENS), result).otherwise(text)
 
 
