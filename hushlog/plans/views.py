@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushlog.schemas import STRUCTURED
+from hushlog.sources.lines import lines_of_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,69 @@ def event_messages(events: DataFrame) -> DataFrame:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(table(spark, sf_dir, "events"))
+
+
+# Position of a console line: orders and their items share a source; SEQ_STEP leaves room for items
+# with the same number, and a run of LINE_BLOCK positions holds some ten thousand orders.
+SEQ_STEP = 4096
+LINE_BLOCK = SEQ_STEP * 16 * 8192
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console lines made from orders (headers and plain lines) and their items (trace lines)."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k",
+        "0 AS ord",
+        """CASE o_orderstatus
+             WHEN 'F' THEN concat('shop.OrderException: o', CAST(o_orderkey % 50 AS STRING))
+             ELSE concat('order accepted in ', CAST(o_orderkey % 900 AS STRING), 'ms')
+           END AS line""",
+    )
+    items = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS k",
+        "l_linenumber AS ord",
+        """CASE WHEN l_returnflag = 'R' AND l_linenumber = 4
+                  THEN 'Caused by: shop.StepException: retry'
+                WHEN l_linenumber = 7 THEN ''
+                ELSE concat(chr(9), 'at shop.p', CAST(l_partkey % 3 AS STRING),
+                  '.Step.run(Step.java:', CAST(l_linenumber AS STRING), ')') END AS line""",
+    )
+    # items with the same order and number are few; equal lines may swap places unseen
+    same = Window.partitionBy("k", "ord").orderBy("line")
+    return (
+        orders.unionByName(items)
+        .withColumn("copy", F.row_number().over(same) - 1)
+        .selectExpr(
+            "concat('host', CAST(k % 8 AS STRING)) AS source",
+            f"(k * 16 + ord) * {SEQ_STEP} + copy AS seq",
+            "1000 + k * 10 + ord AS event_ms",
+            "line",
+        )
+    )
+
+
+def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents as log messages; other characters than ASCII become ``?``."""
+    lines = lines_of_text(
+        table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang", name="text_line"
+    )
+    return lines.select(
+        F.col("source").alias("logger"),
+        F.col("lang").alias("level"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"),
+        F.col("pos").cast("long").alias("seq"),
+        F.col("doc_id").alias("event_ms"),
+        F.regexp_replace("text_line", "[^\\x00-\\x7F]", "?").alias("message"),
+    )
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as log messages of their role."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "'chat' AS source",
+        "conv_id * 1000 + turn AS seq",
+        "conv_id * 1000 + turn AS event_ms",
+        "role AS logger",
+        "'INFO' AS level",
+        "text AS message",
+    )
