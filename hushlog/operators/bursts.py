@@ -30,33 +30,54 @@ def _moment(opts: Options) -> Column:
     return (ms - F.pmod(ms, grain)).alias("moment")
 
 
-def _with_cell(df: DataFrame, opts: Options) -> DataFrame:
-    """Add ``cell``: the moment, and for crowded moments the exact time, source and run of seq."""
-    located = df.withColumn("moment", _moment(opts))
-    # reads event_ms alone; at most rows / hot_rows moments can be crowded, 16 bytes each
+def _crowded_moments(located: DataFrame, opts: Options) -> DataFrame:
+    """``(moment, run_width)`` of moments with more than ``hot_rows`` rows.
+
+    A run of ``seq`` that wide holds about ``block_rows`` rows of one source and millisecond,
+    however densely ``seq`` is used.  The first pass reads ``event_ms`` alone; the second is
+    skipped at run time when nothing is crowded.
+    """
     crowded = (
         located.groupBy("moment")
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") > opts.hot_rows)
-        .select("moment", F.lit(True).alias("crowded"))
+        .select("moment")
+    )
+    spread = (F.max("seq").cast("double") - F.min("seq") + 1) * opts.block_rows
+    shares = F.approx_count_distinct("source") * F.approx_count_distinct("event_ms")
+    width = F.ceil(spread * shares / F.count(F.lit(1))).cast("long")
+    return (
+        located.join(_small(crowded, opts), "moment", "left_semi")
+        .groupBy("moment")
+        .agg(F.greatest(F.lit(opts.block_rows).cast("long"), width).alias("run_width"))
     )
-    run = (F.col("seq") - F.pmod(F.col("seq"), F.lit(opts.block_rows).cast("long"))).alias("run")
+
+
+def _small(crowded: DataFrame, opts: Options) -> DataFrame:
+    """Broadcast when the bound, rows / hot_rows moments of 16 bytes, is small at any scale."""
+    return F.broadcast(crowded) if opts.hot_rows >= 100_000 else crowded
+
+
+def _with_cell(df: DataFrame, opts: Options) -> DataFrame:
+    """Add ``cell``: the moment, and for crowded moments the exact time, source and run of seq."""
+    located = df.withColumn("moment", _moment(opts))
+    width = F.col("run_width")
 
     def fine(column: Column, name: str) -> Column:
-        return F.when(F.col("crowded"), column).alias(name)
+        return F.when(width.isNotNull(), column).alias(name)
 
     return (
-        located.join(F.broadcast(crowded), "moment", "left")
+        located.join(_small(_crowded_moments(located, opts), opts), "moment", "left")
         .withColumn(
             "cell",
             F.struct(
                 F.col("moment"),
                 fine(F.col("event_ms"), "ms"),
                 fine(F.col("source"), "source"),
-                fine(run, "run"),
+                fine(F.col("seq") - F.pmod(F.col("seq"), width), "run"),
             ),
         )
-        .drop("moment", "crowded")
+        .drop("moment", "run_width")
     )
 
 

@@ -238,9 +238,10 @@ def cluster_templates(
     first_come = Window.partitionBy(_BLOCK).orderBy("first_ms", "template")
     while True:
         batch = cut(
-            undecided.withColumn("no", F.row_number().over(first_come).cast("long")).filter(
-                F.col("no") <= batch_size
-            )
+            # tasks keep no more than a batch per block before the shuffle
+            undecided.withColumn("no", F.row_number().over(first_come))
+            .filter(F.col("no") <= batch_size)
+            .withColumn("no", F.col("no").cast("long"))
         )
         done = cut(_settle_batch(batch, keys, opts))
         settled.append(done.select(_BLOCK, "template", "leader_template"))
