@@ -100,7 +100,9 @@ def _all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.log_events(spark, sf_dir)
     numeric = events.withColumn("level_value", F.expr("seq * 37 % 1300")).drop("level")
     return union_sources(
-        from_structured(events), from_numeric_level(numeric), _console(spark, sf_dir)
+        from_structured(events),
+        from_numeric_level(numeric.withColumn("source", F.lit("numeric"))),
+        _console(spark, sf_dir),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlog.operators.bursts import burst_table
-from hushlog.operators.reports import notices
+from hushlog.operators.reports import with_notice
 from hushlog.operators.route import DENY, passed
 from hushlog.options import Options
 from hushlog.schemas import CONSOLE, STRUCTURED
@@ -20,19 +20,18 @@ def deduplicated(marked: DataFrame, routed: DataFrame, opts: Options = Options()
     ``marked`` holds the checked rows with ``allowed`` and ``report``; ``routed`` the whole log.
     A console notice keeps the place of its row, other notices come from the notice logger.
     """
-    shown = notices(marked, opts)
-    inline = shown.filter(F.col("kind") == CONSOLE).withColumn("message", F.col("text"))
-    own = shown.filter(F.col("kind") != CONSOLE).select(
-        F.lit(STRUCTURED).alias("kind"),
-        "source",
-        "seq",
-        "event_ms",
-        F.lit(opts.notice_logger).alias("logger"),
-        F.lit("INFO").alias("level"),
-        F.col("text").alias("message"),
+    shown = with_notice(marked.filter("allowed OR report"), opts).filter(
+        F.col("allowed") | F.col("text").isNotNull()
     )
-    survivors = passed(routed).select(OUTPUT).unionByName(marked.filter("allowed").select(OUTPUT))
-    return survivors.unionByName(inline.select(OUTPUT)).unionByName(own)
+    own = ~F.col("allowed") & (F.col("kind") != CONSOLE)
+    changed = {
+        "kind": F.when(own, STRUCTURED).otherwise(F.col("kind")),
+        "logger": F.when(own, opts.notice_logger).otherwise(F.col("logger")),
+        "level": F.when(own, "INFO").otherwise(F.col("level")),
+        "message": F.when(F.col("allowed"), F.col("message")).otherwise(F.col("text")),
+    }
+    kept = shown.select([changed.get(name, F.col(name)).alias(name) for name in OUTPUT])
+    return passed(routed).select(OUTPUT).unionByName(kept)
 
 
 def _rates(processed: Column, suppressed: Column) -> list[Column]:

@@ -234,61 +234,67 @@ def _mark_runs(suppressed: DataFrame, starts: DataFrame, opts: Options) -> DataF
     )
 
 
-def notices(df: DataFrame, opts: Options = Options()) -> DataFrame:
-    """One row per report that is shown, with its ``text``.
+def with_notice(df: DataFrame, opts: Options = Options()) -> DataFrame:
+    """Add ``text`` to marked rows: the notice a report shows, null where none is shown.
 
-    Records of the log APIs get a separate, shortened notice unless the switch is off; console
-    notices stand in for the suppressed row, with stack traces cleaned, whatever the switch says.
+    Records of the log APIs get a shortened notice unless the switch is off; console notices stand
+    in for the suppressed row, with stack traces cleaned, whatever the switch says.
     """
-    reported = df.filter("report")
     is_console = F.col("kind") == CONSOLE
     suffix = text.suppressed_suffix(F.col("n"), F.col("duration_ms"))
-    own = reported.filter(
-        ~is_console
-        & F.lit(opts.show_notices)
-        & ~F.coalesce(F.col("logger").startswith(CONSOLE_LOGGER_PREFIX), F.lit(False))
-    ).withColumn(
-        "text",
-        F.concat(
-            F.lit("["),
-            F.coalesce("logger", F.lit("null")),
-            F.lit("] "),
-            text.shorten(F.col("message"), NOTICE_CHARS),
-            suffix,
-        ),
+    own = F.concat(
+        F.lit("["),
+        F.coalesce("logger", F.lit("null")),
+        F.lit("] "),
+        text.shorten(F.col("message"), NOTICE_CHARS),
+        suffix,
     )
-    inline = _with_clean_message(reported.filter(is_console), opts).withColumn(
-        "text", F.concat(F.coalesce("shown", F.lit("")), suffix)
+    silent = F.coalesce(F.col("logger").startswith(CONSOLE_LOGGER_PREFIX), F.lit(False))
+    shown = (
+        F.when(~F.col("report"), None)
+        .when(is_console, F.concat(F.coalesce("shown", F.lit("")), suffix))
+        .when(F.lit(opts.show_notices) & ~silent, own)
+    )
+    return _with_clean_message(df, opts).withColumn("text", shown).drop("shown")
+
+
+def notices(df: DataFrame, opts: Options = Options()) -> DataFrame:
+    """One row per report that is shown, with its ``text``."""
+    return (
+        with_notice(df.filter("report"), opts)
+        .filter(F.col("text").isNotNull())
+        .select(
+            "kind",
+            "source",
+            "seq",
+            "event_ms",
+            "logger",
+            "level",
+            F.col("leader_template").alias("template"),
+            (F.col("n") - 1).alias("suppressed"),
+            "duration_ms",
+            "text",
+        )
     )
-    columns = [
-        "kind",
-        "source",
-        "seq",
-        "event_ms",
-        "logger",
-        "level",
-        F.col("leader_template").alias("template"),
-        (F.col("n") - 1).alias("suppressed"),
-        "duration_ms",
-        "text",
-    ]
-    return own.select(columns).unionByName(inline.select(columns))
-
-
-def _with_clean_message(console: DataFrame, opts: Options) -> DataFrame:
-    """Add ``shown``: the message, cleaned if it looks like a trace; each text is cleaned once."""
+
+
+def _with_clean_message(df: DataFrame, opts: Options) -> DataFrame:
+    """Add ``shown``: the message, cleaned if it is a trace on the console that gets a notice.
+
+    Each different text is cleaned once.
+    """
     if not opts.clean_traces:
-        return console.withColumn("shown", F.col("message"))
+        return df.withColumn("shown", F.col("message"))
+    wanted = F.col("report") & (F.col("kind") == CONSOLE) & is_trace_message(F.col("message"))
+    marked = df.withColumn("trace_id", F.when(wanted, F.col("message")))
     texts = (
-        console.filter(is_trace_message(F.col("message")))
-        .select(F.col("message").alias("trace_id"), F.col("message").alias("text"))
+        marked.filter(F.col("trace_id").isNotNull())
+        .select("trace_id", F.col("trace_id").alias("text"))
         .distinct()
     )
-    cleaned = clean_traces(texts, opts).select(
-        F.col("trace_id").alias("message"), F.col("text").alias("clean_text")
+    cleaned = clean_traces(texts, opts).withColumnRenamed("text", "clean_text")
+    return (
+        marked.join(cleaned, "trace_id", "left")
+        .withColumn("shown", F.coalesce("clean_text", "message"))
+        .drop("trace_id", "clean_text")
     )
-    return console.join(cleaned, "message", "left").withColumn(
-        "shown", F.coalesce("clean_text", "message")
-    )
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from hushlog.functions.checkpoints import cut
 from hushlog.operators.bursts import decide, with_bursts
 from hushlog.operators.cluster import cluster_templates
 from hushlog.operators.output import deduplicated
@@ -29,6 +30,11 @@ def leaders_of(events: DataFrame, opts: Options = Options()) -> DataFrame | None
 
 
 def quiet_log(events: DataFrame, opts: Options = Options()) -> DataFrame:
-    """The log without its noise: what passes, what is allowed, and count notices."""
+    """The log without its noise: what passes, what is allowed, and count notices.
+
+    Runs the suppression when called and keeps the surviving rows in the shared folder.
+    """
     marked = decisions(events, opts, leaders_of(events, opts))
-    return deduplicated(marked, route(events, opts), opts)
+    # what survives is used more than once and is the small part of a noisy log
+    kept = cut(marked.filter("allowed OR report"))
+    return deduplicated(kept, route(events, opts), opts)
