@@ -19,8 +19,11 @@ from hushlog.options import Options
 # Fixed value: beyond this length two texts are compared by their lengths alone.
 LONG_CHARS = 200
 
-# Templates of one block settled per round; bounds the pairs of a block to BATCH^2 / 2.
+# Templates of one block settled per round; bounds the pairs of a block to BATCH^2 / 2.  The first
+# rounds are smaller: the leaders of dense groups turn up early and clear most of their copies.
 BATCH = 1024
+FIRST_BATCH = 64
+BATCH_GROWTH = 4
 # Rows of the q-gram frequency table; q-grams share rows by hash.
 _FREQUENCY_ROWS = 65_536
 # Follower tables up to this size are broadcast to the rows.
@@ -236,11 +239,12 @@ def cluster_templates(
     keys = cut(_gram_keys(nodes, opts))
     undecided, settled = nodes, []
     first_come = Window.partitionBy(_BLOCK).orderBy("first_ms", "template")
+    size = min(FIRST_BATCH, batch_size)
     while True:
         batch = cut(
             # tasks keep no more than a batch per block before the shuffle
             undecided.withColumn("no", F.row_number().over(first_come))
-            .filter(F.col("no") <= batch_size)
+            .filter(F.col("no") <= size)
             .withColumn("no", F.col("no").cast("long"))
         )
         done = cut(_settle_batch(batch, keys, opts))
@@ -258,6 +262,7 @@ def cluster_templates(
         undecided = matched.filter(F.col("leader").isNull()).select(nodes.columns)
         if undecided.isEmpty():
             break
+        size = min(size * BATCH_GROWTH, batch_size)
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
