@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushlog.functions.text import strip_space
 from hushlog.options import Options
 
-# Openings of a line that continues a stack trace.
-TRACE_LINE_STARTS = ("at ", "Caused by:", "Suppressed:", "...")
+# A line that continues a stack trace holds only white space, or opens with one of
+# these after it (white space at the end of the line does not count).
+_SPACE = "[\\x00-\\x20]"
+TRACE_LINE = (
+    f"^{_SPACE}*+(?:at (?s:.*[^\\x00-\\x20])|Caused by:|Suppressed:|\\.\\.\\.|\\z)"
+)
 
 # Message words that choose the gap length, first group that matches wins.
 CHUNK_WORDS = ("chunk", "loading")
@@ -31,9 +34,7 @@ def _any(conditions: list[Column]) -> Column:
 
 def is_trace_line(line: Column) -> Column:
     """Blank-but-not-empty lines and lines that open like a frame, cause or ellipsis."""
-    trimmed = strip_space(line)
-    opening = _any([trimmed.startswith(start) for start in TRACE_LINE_STARTS])
-    return F.coalesce((line != "") & ((trimmed == "") | opening), F.lit(False))
+    return F.coalesce((line != "") & line.rlike(TRACE_LINE), F.lit(False))
 
 
 def is_exception(line: Column) -> Column:

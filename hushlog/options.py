@@ -47,6 +47,9 @@ SETTING_NAMES = {
     "output.show_suppression_message": "show_notices",
 }
 
+# Settings that are accepted but change nothing here.
+UNUSED_SETTINGS = ("max_buffer_size", "system_streams.multiline_timeout_ms")
+
 
 @dataclass(frozen=True)
 class Options:
@@ -123,6 +126,8 @@ class Options:
                     flat[path] = value
 
         walk("", settings)
+        for name in UNUSED_SETTINGS:
+            flat.pop(name, None)
         unknown = sorted(set(flat) - set(SETTING_NAMES))
         if unknown:
             raise KeyError(f"unknown settings: {', '.join(unknown)}")

@@ -5,7 +5,7 @@ from model import suppress
 from pyspark.sql import functions as F
 
 from hushlog import Options
-from hushlog.operators.bursts import burst_table, decide, with_bursts
+from hushlog.operators.bursts import _with_cell, burst_table, decide, with_bursts
 from hushlog.operators.reports import mark_reports
 from hushlog.operators.templates import keyed
 
@@ -152,6 +152,26 @@ def test_input_order_and_partitioning_do_not_matter(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+@pytest.mark.parametrize("far_apart", [1, 10**9])
+def test_one_crowded_moment_is_split_evenly(spark, far_apart):
+    """All rows share a key and a time: ranks are still taken in small groups."""
+    opts = Options(fuzzy=False, hot_rows=100, block_rows=50)
+    df = spark.range(6000).select(
+        F.lit("k").alias("logger"),
+        F.lit("INFO").alias("level"),
+        F.lit("t").alias("leader_template"),
+        F.lit(5).cast("long").alias("event_ms"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+        (F.floor(F.col("id") / 3) * far_apart).alias("seq"),
+        F.lit(2000).alias("window_ms"),
+    )
+    cells = _with_cell(df, opts).groupBy("cell").count().agg(F.max("count"), F.count("*")).first()
+    assert cells[0] <= 2 * opts.block_rows and cells[1] <= 2 * 6000 / opts.block_rows
+    placed = with_bursts(df, opts)
+    assert placed.agg(F.max("n"), F.countDistinct("n")).first() == (6000, 6000)
+    assert placed.filter("n = 2001").first().source == "s1"
+
+
 def test_no_task_orders_a_whole_key(spark):
     """Row-level sorts are bounded by a cell, and no Python runs outside the report fold."""
     opts = Options(fuzzy=False)

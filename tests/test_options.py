@@ -17,7 +17,7 @@ def test_defaults():
 
 def test_settings_nested_or_dotted():
     opts = Options.from_settings(
-        {"thresholds": {"error": 7}, "filters.blacklist": ["a"], "similarity": {"fuzzy_matching": False}}
+        {"thresholds": {"error": 7}, "max_buffer_size": 9, "filters.blacklist": ["a"], "similarity": {"fuzzy_matching": False}}
     )
     assert (opts.error_threshold, opts.deny_loggers, opts.fuzzy) == (7, ("a",), False)
     assert opts.warn_threshold == 10
