@@ -241,7 +241,7 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trace_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(_traces(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
-    return rows.drop("is_framework", "ends")
+    return rows.drop("is_framework")
 
 
 def cleaned_traces(spark: SparkSession, sf_dir: str) -> DataFrame:

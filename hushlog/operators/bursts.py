@@ -160,11 +160,9 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     )
 
     # 2. across stretches: only first cells share a lane, other cells stay in their own stretch
-    lane = Window.partitionBy(
-        *KEY, F.when(F.col("is_head"), F.lit(None).cast("long")).otherwise(F.col("stretch"))
-    ).orderBy("cell")
+    lane = Window.partitionBy(*KEY, "lane").orderBy("cell")
     lane_before = lane.rowsBetween(Window.unboundedPreceding, -1)
-    heads = inner.select(
+    heads = inner.withColumn("lane", F.when(~F.col("is_head"), F.col("stretch"))).select(
         "*",
         F.lag("all_last_ms").over(lane).alias("stretch_prev_ms"),
         F.coalesce(F.sum("all_rows").over(lane_before), F.lit(0)).alias("base_rows"),

@@ -28,10 +28,15 @@ def frames(traces: DataFrame, opts: Options = Options()) -> DataFrame:
 
     A trace is one text value, so a window over a trace never outgrows one record.
     """
+    return _line_table(traces.filter(F.col("text") != ""), opts).drop("ends")
+
+
+def _line_table(traces: DataFrame, opts: Options) -> DataFrame:
+    """Lines of traces; a null text becomes one null line."""
     # newlines at the end are no lines of the trace
     body = F.regexp_replace(F.col("text"), "\n+\\z", "")
-    lines = traces.filter(F.col("text") != "").select(
-        "trace_id", F.posexplode(F.split(body, "\n", -1)).alias("pos", "line")
+    lines = traces.select(
+        "trace_id", F.posexplode_outer(F.split(body, "\n", -1)).alias("pos", "line")
     )
     trimmed = strip_space(F.col("line"))
     called = F.when(
@@ -105,25 +110,24 @@ def clean_traces(traces: DataFrame, opts: Options = Options()) -> DataFrame:
     """``(trace_id, text)`` with repeated and unwanted frames dropped; one shuffle by trace."""
     if not opts.clean_traces:
         return traces.select("trace_id", "text")
-    rows = frames(traces, opts)
+    rows = _line_table(traces, opts)
     kept_lines = F.collect_list(F.when(F.col("kept"), F.struct("pos", "line")))
     joined = F.array_join(F.transform(F.array_sort(kept_lines), lambda x: x.line), "\n")
     rebuilt = rows.groupBy("trace_id").agg(
         joined.alias("kept_text"),
         (F.count(F.lit(1)) - F.count_if("kept")).alias("rest"),
         F.count_if("kept").alias("n_kept"),
+        F.bool_or(F.col("line").isNull()).alias("absent"),
         F.max(F.when(F.col("ends"), F.regexp_extract("line", "(?s)^(.*?)at", 1))).alias("indent"),
     )
     tail = F.concat("indent", F.lit("... "), F.col("rest").cast("string"), F.lit(" more"))
     text = (
-        F.when(F.col("indent").isNull(), F.col("kept_text"))
+        F.when(F.col("absent"), None)
+        .when(F.col("indent").isNull(), F.col("kept_text"))
         .when(F.col("n_kept") == 0, tail)
         .otherwise(F.concat("kept_text", F.lit("\n"), tail))
     )
-    untouched = traces.filter(F.col("text").isNull() | (F.col("text") == ""))
-    return rebuilt.select("trace_id", text.alias("text")).unionByName(
-        untouched.select("trace_id", "text")
-    )
+    return rebuilt.select("trace_id", text.alias("text"))
 
 
 def hot_frames(traces: DataFrame, by: str = "method", opts: Options = Options()) -> DataFrame:
