@@ -26,7 +26,7 @@ VECTORS = [
     ("Chunk [14, -7] loaded in 250ms", "Chunk [*, *] loaded in *ms"),
     (f"Cache@1a2b3c4d5e for {UUID}", "Cache@* for *UUID*"),
     ("org.apache.logging.log4j.core", "org.apache.logging.log4j.core"),
-    ("Recipe minecraft:stone references modid:item_name",) * 2,
+    ("Recipe shop:stone references unit:item_name",) * 2,
     # tokens are consumed whole, left to right
     ("ip 192.168.1.1 ok", "ip 192.168.1.1 ok"),
     ("a-1.5 b", "a-1.5 b"),
