@@ -120,3 +120,12 @@ def test_rows_take_their_leader(spark, monkeypatch):
             rows[3][2],
         ]
     assert by_broadcast.filter(F.col("window_ms") == 2000).count() == 4
+
+
+def test_no_templates(spark):
+    none = spark.createDataFrame([], "logger string, level string, template string, first_ms long")
+    assert cluster_templates(none).count() == 0
+    alone = spark.createDataFrame(
+        [("l", None, "", 1)], "logger string, level string, template string, first_ms long"
+    )
+    assert [tuple(r) for r in cluster_templates(alone).collect()] == [("l", None, "", "")]
