@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
 from hushlog.llm.token_counts import with_token_counts
 
 
@@ -17,7 +19,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
-_QUERIES = [op1_token_counts]
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = with_measures(with_verdict(documents(spark, sf_dir).select("doc_id", "text")))
+    kept = (F.col("kept") & ~F.col("base_failed")).alias("kept")
+    return judged.select("doc_id", *MEASURES, "base_failed", kept)
+
+
+_QUERIES = [op1_token_counts, op8_quality_rules]
 
 QUERIES = {query.__name__: query for query in _QUERIES}
-SQL: dict[str, str] = {}
+
+QUALITY_SQL = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+                    x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM documents),
+windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n
+    FROM split, unnest(range(1, len(ws) - 3)) AS spot(i)),
+steps AS (
+    SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS step
+    FROM windows WHERE n > 1),
+repeats AS (SELECT doc_id, sum(step) AS n FROM steps GROUP BY doc_id),
+measured AS (
+    SELECT doc_id, t, ws, ls, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+        CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+    FROM split LEFT JOIN repeats r USING (doc_id)),
+failed AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed
+        OR 100 * n_symbols > 20 * n_words
+        OR 100 * len(list_filter(ws, x -> regexp_matches(x, '\A[^\p{L}]*\p{Lu}{2,}[^\p{L}]*\z')))
+            > 50 * n_words
+        OR 100 * (length(t) - length(replace(t, '!', ''))) > 30 * n_words
+        OR length(array_to_string(ls, '')) > 2 * length(array_to_string(list_distinct(ls), ''))
+        OR word_chars < 2 * n_words OR word_chars > 30 * n_words
+        OR 100 * len(list_filter(ws, x -> regexp_matches(x, '\A[^\p{L}]*\z'))) > 50 * n_words
+        OR len(ls) > 3 AND
+            100 * len(list_filter(ls, x -> regexp_matches(x, '\A[ \t]*[-•*·][ \t]'))) > 90 * len(ls)
+        OR len(ls) > 3 AND
+            100 * len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z'))) > 50 * len(ls)
+    ) AS kept
+FROM failed
+"""
+
+SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL}
