@@ -34,7 +34,7 @@ WITH split AS (
     SELECT doc_id, coalesce(text, '') AS t,
         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
         list_filter(string_split(coalesce(text, ''), chr(10)),
-                    x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+                    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM documents),
 windows AS (
     SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n
@@ -54,16 +54,16 @@ failed AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed
         OR 100 * n_symbols > 20 * n_words
-        OR 100 * len(list_filter(ws, x -> regexp_matches(x, '\A[^\p{L}]*\p{Lu}{2,}[^\p{L}]*\z')))
+        OR 100 * len(list_filter(ws, lambda x: regexp_matches(x, '\A[^\p{L}]*\p{Lu}{2,}[^\p{L}]*\z')))
             > 50 * n_words
         OR 100 * (length(t) - length(replace(t, '!', ''))) > 30 * n_words
         OR length(array_to_string(ls, '')) > 2 * length(array_to_string(list_distinct(ls), ''))
         OR word_chars < 2 * n_words OR word_chars > 30 * n_words
-        OR 100 * len(list_filter(ws, x -> regexp_matches(x, '\A[^\p{L}]*\z'))) > 50 * n_words
+        OR 100 * len(list_filter(ws, lambda x: regexp_matches(x, '\A[^\p{L}]*\z'))) > 50 * n_words
         OR len(ls) > 3 AND
-            100 * len(list_filter(ls, x -> regexp_matches(x, '\A[ \t]*[-•*·][ \t]'))) > 90 * len(ls)
+            100 * len(list_filter(ls, lambda x: regexp_matches(x, '\A[ \t]*[-•*·][ \t]'))) > 90 * len(ls)
         OR len(ls) > 3 AND
-            100 * len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z'))) > 50 * len(ls)
+            100 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z'))) > 50 * len(ls)
     ) AS kept
 FROM failed
 """
