@@ -25,10 +25,6 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
             yield batch.slice(start, end - start)
 
 
-def texts_of(batch: pa.RecordBatch, text: str) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(text)).to_pylist()
-
-
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` less the columns that new ones would clash with (names compare without case)."""
     taken = {name.lower() for name in names}
@@ -40,11 +36,12 @@ def append_columns(
     fields: Sequence[StructField],
     make: Callable[[list[str | None]], Sequence[object]],
     text: str = "text",
+    raw: bool = False,
 ) -> DataFrame:
     """``df`` with new columns made from its texts, a few megabytes of them at a time.
 
-    ``make`` gets the texts of some rows and returns an array or list for each field. A column
-    that already has the name of a new one is replaced.
+    ``make`` gets the texts of some rows (their Arrow column if ``raw``) and returns an array or
+    list for each field. A column that already has the name of a new one is replaced.
     """
     base = without(df, [f.name for f in fields])
     schema = StructType([*base.schema.fields, *fields])
@@ -55,7 +52,8 @@ def append_columns(
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for whole in batches:
             for batch in pieces(whole, text):
-                made = make(texts_of(batch, text))
+                column = batch.column(batch.schema.get_field_index(text))
+                made = make(column if raw else column.to_pylist())
                 columns = [
                     values if isinstance(values, pa.Array) else pa.array(values, kind)
                     for values, kind in zip(made, kinds)

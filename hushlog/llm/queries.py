@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlog.functions.checkpoints import shared_folder
+from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
 from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
 from hushlog.llm.token_counts import with_token_counts
+from hushlog.llm.token_files import token_file_ids
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +30,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "base_failed", kept)
 
 
-_QUERIES = [op1_token_counts, op8_quality_rules]
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = public_tokenizers.path(BYTE_BPE)
+    read = token_file_ids(documents(spark, sf_dir), path, folder, end=2)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    encoded = with_token_ids(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text")
+    return with_decoded(encoded, path).select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+_QUERIES = [op1_token_counts, op6_token_files, op8_quality_rules, op9_chunk_bpe]
 
 QUERIES = {query.__name__: query for query in _QUERIES}
 
