@@ -23,7 +23,7 @@ from hushlog.llm.token_files import _binary, _runs
 SEEN, BITS, LEAST = 8, 8, 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Chunks and ids of chunks that a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED_CHUNKS, REMEMBERED_IDS = 1 << 17, 1 << 23
+REMEMBERED_CHUNKS, REMEMBERED_IDS = 1 << 15, 1 << 22
 
 
 def chunk_ends(data: bytes) -> np.ndarray:
@@ -76,7 +76,7 @@ class ChunkEncoder:
             cut.append([data[a:b] for a, b in zip([0, *ends], ends)])
         new = list({c for chunks in cut for c in chunks} - self.chunks.keys())
         parts = [self._core(chunk) for chunk in new]
-        ids, sizes = self.model.encode([part[1] for part in parts if part])
+        ids, sizes = self.model.encode_pieces([part[1] for part in parts if part])
         run = self.store.add(ids, sizes)
         for chunk, part in zip(new, parts):
             if part:
@@ -103,7 +103,7 @@ class ChunkEncoder:
                 runs.append(-len(joins))
             per_text[i] = len(runs) - before
         again = Ragged()
-        again.add(*self.model.encode(joins))
+        again.add(*self.model.encode_pieces(joins))
         order = np.array(runs, dtype=np.int64)
         both = Ragged()
         for store in (self.store, again):

@@ -7,7 +7,7 @@ import public_tokenizers
 from fixtures import SF_DIR, clashing, frame, odd_rows
 from tokenizers import Tokenizer
 
-from hushlog.llm.byte_bpe import ByteBpe, byte_bpe
+from hushlog.llm.byte_bpe import byte_bpe
 from hushlog.llm.chunk_bpe import ChunkEncoder, chunk_ends, with_decoded, with_token_ids
 from hushlog.llm.queries import op6_token_files, op9_chunk_bpe
 from hushlog.llm.token_files import pack, token_file_ids, unpack
@@ -31,14 +31,16 @@ def random_texts(n, most, seed):
     return ["".join(pick.choice(parts) for _ in range(pick.randint(0, most))) for _ in range(n)]
 
 
-def test_words_as_library(monkeypatch):
-    texts = random_texts(4000, 30, 3)
+def test_texts_as_library():
+    texts = random_texts(4000, 30, 3) + [" " * 300_000, "x" * 200_000, "ab " * 50_000]
     assert runs(*byte_bpe(PATH).encode(texts)) == library_ids(texts)
-    monkeypatch.setattr("hushlog.llm.byte_bpe.REMEMBERED_WORDS", 2)
-    small = ByteBpe(PATH)
-    for some in (texts[:5], texts[5:9], texts[:5]):
-        assert runs(*small.encode(some)) == library_ids(some)
-    assert small.encode([])[1].tolist() == []
+    assert byte_bpe(PATH).encode([])[1].tolist() == []
+
+
+def test_pieces_as_library():
+    texts = random_texts(3000, 6, 9) + [" " + t for t in random_texts(3000, 4, 10)] + [" a", ""]
+    assert runs(*byte_bpe(PATH).encode_pieces(texts)) == library_ids(texts)
+    assert byte_bpe(PATH).encode_pieces([])[1].tolist() == []
 
 
 def test_chunks_as_library(monkeypatch):
