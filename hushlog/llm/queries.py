@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlog.functions.checkpoints import shared_folder
+from hushlog.functions.checkpoints import shared_folder, stored
 from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
+from hushlog.llm.positional_index import build_index, hit_words, search
 from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
 from hushlog.llm.token_counts import with_token_counts
 from hushlog.llm.token_files import token_file_ids
@@ -51,7 +52,27 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_token_counts, op6_token_files, op8_quality_rules, op9_chunk_bpe]
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored(build_index(documents(spark, sf_dir)), "index")
+    found = search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = hit_words(F.col("hits"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+_QUERIES = [
+    op1_token_counts,
+    op6_token_files,
+    op8_quality_rules,
+    op9_chunk_bpe,
+    op10_decontamination,
+]
 
 QUERIES = {query.__name__: query for query in _QUERIES}
 
@@ -94,4 +115,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = rf"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+tests AS (
+    SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + 9], ' ') AS g
+    FROM items, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS spot(i) WHERE len(ws) > 0),
+places AS (
+    SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+    FROM docs, (SELECT DISTINCT n FROM tests), unnest(range(1, len(ws) - n + 2)) AS spot(i)),
+found AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN tests USING (n, g)),
+words AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS spot(k)
+    GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op8_quality_rules": QUALITY_SQL,
+    "op10_decontamination": DECONTAMINATION_SQL,
+}
