@@ -15,9 +15,17 @@ import numpy as np
 
 # Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Looking ahead only matters where white space follows white space.
+PLAIN_WORDS, WHITE_RUN = WORDS.replace(r"\s+(?!\S)|", ""), re.compile(r"\s\s")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def valid_slots(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """For runs that each fill the first ``sizes`` of ``room`` slots: which slots are filled."""
+    lengths = np.stack([sizes, room - sizes], axis=1).reshape(-1)
+    return np.repeat(np.tile([True, False], len(sizes)), lengths)
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of all elements of the runs that begin at ``starts``, run after run."""
     ends = np.cumsum(lengths)
@@ -107,8 +115,9 @@ class ByteBpe:
         order = [vocab[a + b] for a, b in merges]
         if order != sorted(order) or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError(f"{path}: ids don't follow the order of the merges")
-        self.engine = tiktoken.Encoding(
-            "words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}
+        self.engine, self.plain = (
+            tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for pattern in (WORDS, PLAIN_WORDS)
         )
         for i, content in added.items():
             spelled[i] = content
@@ -119,7 +128,8 @@ class ByteBpe:
     def ids_of(self, text: str) -> np.ndarray:
         if not any(s in text for s in self.special):
             try:
-                return self.engine.encode_to_numpy(text, disallowed_special=())
+                engine = self.engine if WHITE_RUN.search(text) else self.plain
+                return engine.encode_to_numpy(text, disallowed_special=())
             except (ValueError, RuntimeError):  # a run too long for its regex
                 pass
         ids = self.library.encode(text, add_special_tokens=False).ids

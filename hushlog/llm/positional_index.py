@@ -29,7 +29,6 @@ from pyspark.sql.types import (
 
 from hushlog.functions.checkpoints import forget, stored
 from hushlog.llm.arrow import pieces
-from hushlog.llm.byte_bpe import spread
 from hushlog.llm.token_files import pack, unpack
 
 #: Free positions between documents of a segment; no phrase or reach is longer.
@@ -137,7 +136,7 @@ class Segment:
         self.first = np.cumsum(self.counts) - self.counts
         bits = [np.frombuffer(b, dtype=np.uint8) for b in (control, data)]
         steps = unpack(*bits, np.array([int(self.counts.sum())]))
-        total = np.cumsum(steps)
+        total = np.cumsum(steps, dtype=np.int64)
         # sums go on over terms; each list starts anew
         base = np.where(self.first > 0, total[self.first - 1], 0) if len(total) else self.first
         self.places = total - np.repeat(base, self.counts)
