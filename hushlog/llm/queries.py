@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hushlog.functions.checkpoints import shared_folder, stored
 from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
+from hushlog.llm.hilbert_shards import hashed, scaled, with_shards
+from hushlog.llm.license_scan import certainty, label_list, with_licenses
 from hushlog.llm.positional_index import build_index, hit_words, search
 from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
 from hushlog.llm.token_counts import with_token_counts
@@ -31,6 +33,45 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "base_failed", kept)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, found = F.col("base"), F.col("licenses")
+    starts = F.transform(base, lambda d: d["start"])
+    return with_licenses(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        label_list(base).alias("base_labels"),
+        label_list(F.concat(base, found)).alias("labels"),
+        certainty(base, found).alias("score"),
+        F.size(found).cast("long").alias("n_licenses"),
+    )
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = documents(spark, sf_dir).select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    dims = [hashed(F.col("source")), hashed(F.col("lang")), scaled(F.col("size"))]
+    sharded = with_shards(rows, dims, ["doc_id", "text_crc32", "size"], n_shards=24)
+    return sharded.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
+
+
 BYTE_BPE = "byte_bpe_50k.json"
 
 
@@ -68,6 +109,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [
     op1_token_counts,
+    op4_license_scan,
+    op5_hilbert_shards,
     op6_token_files,
     op8_quality_rules,
     op9_chunk_bpe,
