@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hushlog.functions.checkpoints import shared_folder, stored
 from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
+from hushlog.llm.feistel import with_pseudonyms
 from hushlog.llm.hilbert_shards import hashed, scaled, with_shards
 from hushlog.llm.license_scan import certainty, label_list, with_licenses
 from hushlog.llm.positional_index import build_index, hit_words, search
@@ -33,6 +34,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "base_failed", kept)
 
 
+#: Only for tables without real people; a real job passes a key of its own.
+SAMPLE_KEY = b"a key for made-up documents only"
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = with_pseudonyms(documents(spark, sf_dir).select("doc_id", "text"), SAMPLE_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("pii.kind"))), ",")
+    return done.select(
+        "doc_id", "text", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds")
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, found = F.col("base"), F.col("licenses")
     starts = F.transform(base, lambda d: d["start"])
@@ -109,6 +122,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = [
     op1_token_counts,
+    op2_pseudonyms,
     op4_license_scan,
     op5_hilbert_shards,
     op6_token_files,
