@@ -119,17 +119,13 @@ def card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def phone(text: str, key: bytes, back: bool) -> str | None:
-    """Ten-digit number of the North American plan, with or without its +1."""
+    """Ten digits written as a North American number, with or without its +1."""
 
     def make(digits: str) -> str | None:
         lead, local = digits[:-10], digits[-10:]
-        if len(local) < 10 or lead not in ("", "1") or local[0] in "01" or local[3] in "01":
+        if len(local) < 10 or lead not in ("", "1"):
             return None
-        area, exchange, line = int(local[:3]) - 200, int(local[3:6]) - 200, int(local[6:])
-        number = changed((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, key, "phone", back)
-        number, line = divmod(number, 10_000)
-        area, exchange = divmod(number, 800)
-        return f"{lead}{area + 200}{exchange + 200}{line:04d}"
+        return lead + str(changed(int(local), 10**10, key, "phone", back)).zfill(10)
 
     return _in_digits(text, make)
 

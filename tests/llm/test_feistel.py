@@ -92,7 +92,7 @@ def test_dates_in_all_forms_are_linked():
 def test_what_fails_its_check_stays():
     text = (
         "4111111111111112 1.2.3.4.5 256.1.1.1 000-12-1234 666-12-1234 123-00-1234 2024-02-30 31/31/2024 "
-        "GB00 WEST 1234 5698 7654 32 +1 (152) 555-1234 version 2.0. CC BY-NC 4.0, token = none, 12345"
+        "GB00 WEST 1234 5698 7654 32 version 12-15 version 2.0. CC BY-NC 4.0, token = none, 12345"
     )
     assert pseudonymised(text, KEY) == (text, [])
 
