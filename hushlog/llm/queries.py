@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlog.functions.checkpoints import shared_folder, stored
+from hushlog.llm.byte_cnn import fit, held_out, with_language
 from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
 from hushlog.llm.feistel import with_pseudonyms
 from hushlog.llm.hilbert_shards import hashed, scaled, with_shards
@@ -46,6 +47,15 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learned = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    net = fit(learned.select("text", "lang"))
+    return with_language(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, found = F.col("base"), F.col("licenses")
     starts = F.transform(base, lambda d: d["start"])
@@ -123,6 +133,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = [
     op1_token_counts,
     op2_pseudonyms,
+    op3_byte_cnn,
     op4_license_scan,
     op5_hilbert_shards,
     op6_token_files,
