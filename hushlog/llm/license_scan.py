@@ -18,7 +18,7 @@ from hushlog.llm.quality_rules import let
 
 #: Words are runs of digits, a-z and whatever is not ASCII, once A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-EITHER_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+EITHER_CASE_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What a text must hold to be looked at. Each keyword of a rule holds one of these, or "cc" and "by".
 GATES = (
     "licen", "public", "copyright", "rights", "permission", "redistribut", "advertising", "endorse",
@@ -31,15 +31,26 @@ DETECTION = "array<struct<label:string,priority:int,start:int,end:int>>"
 
 
 def _rows(rules: Sequence[Signature]) -> Column:
+    """The rules by keyword, each keyword once."""
+    by_keyword: dict[str, list[Signature]] = {}
+    for rule in rules:
+        by_keyword.setdefault(rule.keyword, []).append(rule)
     return F.array(
         *[
             F.struct(
-                F.lit(r.label).alias("label"),
-                F.lit(r.priority).alias("priority"),
-                F.lit(f" {r.keyword}").alias("keyword"),
-                F.lit(rf"(?<= )({r.pattern})(?= )").alias("pattern"),
+                F.lit(f" {keyword}").alias("keyword"),
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(r.label).alias("label"),
+                            F.lit(r.priority).alias("priority"),
+                            F.lit(rf"(?<= )({r.pattern})(?= )").alias("pattern"),
+                        )
+                        for r in some
+                    ]
+                ).alias("rules"),
             )
-            for r in rules
+            for keyword, some in by_keyword.items()
         ]
     )
 
@@ -79,8 +90,9 @@ def _places(norm: Column, rule: Column) -> Column:
 
 def detections(norm: Column, rules: Sequence[Signature]) -> Column:
     """All matches of the rules whose keyword the text holds."""
-    near = F.filter(_rows(rules), lambda r: F.contains(norm, r["keyword"]))
-    return F.flatten(F.transform(near, lambda r: _places(norm, r)))
+    near = F.filter(_rows(rules), lambda k: F.contains(norm, k["keyword"]))
+    chosen = F.flatten(F.transform(near, lambda k: k["rules"]))
+    return F.flatten(F.transform(chosen, lambda r: _places(norm, r)))
 
 
 def resolved(found: Column) -> Column:
@@ -123,11 +135,14 @@ def resolved(found: Column) -> Column:
 
 
 def _gate(text: Column) -> Column:
-    low = F.lower(text)
-    open_ = F.lit(False)
-    for word in GATES:
-        open_ = open_ | F.contains(low, F.lit(word))
-    return open_ | text.rlike(r"[cC][cC][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY]")
+    def any_of(low: Column) -> Column:
+        open_ = F.lit(False)
+        for word in GATES:
+            open_ = open_ | F.contains(low, F.lit(word))
+        return open_
+
+    by = text.rlike(r"[cC][cC][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY]")
+    return let(F.lower(text), any_of) | by
 
 
 def with_licenses(docs: DataFrame, rules: Sequence[Signature] | None = None, text: str = "text") -> DataFrame:
@@ -151,7 +166,7 @@ def with_licenses(docs: DataFrame, rules: Sequence[Signature] | None = None, tex
     )
     df = without(docs, ["n_words", "base", "licenses"]).select(
         "*",
-        F.regexp_count(whole, F.lit(EITHER_CASE)).cast("long").alias("n_words"),
+        F.size(F.array_remove(F.split(whole, EITHER_CASE_BREAK), "")).cast("long").alias("n_words"),
         F.when(_gate(whole), scanned).otherwise(nothing).alias("_scan"),
     )
     return df.select("*", "_scan.base", "_scan.licenses").drop("_scan")
