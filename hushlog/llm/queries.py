@@ -16,6 +16,7 @@ from hushlog.llm.hilbert_shards import hashed, scaled, with_shards
 from hushlog.llm.license_scan import certainty, label_list, with_licenses
 from hushlog.llm.positional_index import build_index, hit_words, search
 from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
+from hushlog.llm.shingle_join import similar_sets
 from hushlog.llm.token_counts import with_token_counts
 from hushlog.llm.token_files import token_file_ids
 
@@ -29,6 +30,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(documents(spark, sf_dir), width=3, per_cent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = with_measures(with_verdict(documents(spark, sf_dir).select("doc_id", "text")))
     kept = (F.col("kept") & ~F.col("base_failed")).alias("kept")
@@ -116,6 +121,12 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored(build_index(documents(spark, sf_dir)), "index")
     found = search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -137,9 +148,11 @@ _QUERIES = [
     op4_license_scan,
     op5_hilbert_shards,
     op6_token_files,
+    op7_shingle_join,
     op8_quality_rules,
     op9_chunk_bpe,
     op10_decontamination,
+    pipeline,
 ]
 
 QUERIES = {query.__name__: query for query in _QUERIES}
@@ -208,7 +221,29 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+JOIN_SQL = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+    FROM docs, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS spot(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+same AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM same JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * same.n >= 90 * (x.n + y.n - same.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM docs
+    UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other)
+SELECT doc_id, coalesce(s.n, 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes s USING (doc_id) GROUP BY doc_id, s.n
+"""
+
 SQL: dict[str, str] = {
+    "op7_shingle_join": JOIN_SQL,
     "op8_quality_rules": QUALITY_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
 }
