@@ -10,8 +10,9 @@ document's set falls into segments, one for each fragment. Fragments serve twice
   counts are summed per pair.
 
 Only links that join components matter. Equal sets are one node. In each segment's group the node
-with the most company is compared with all others; what that leaves apart is compared with whatever
-of other components stands in the same group, so pairs inside a component are never made.
+with the most company is compared with all others. What that leaves apart is cut into finer
+fragments, of which only a few rare ones need to be looked at, and compared with whatever of other
+components stands in the same group, so pairs inside a component are never made.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -44,6 +45,10 @@ COUNTED = 8
 #: Up to so many candidate texts (16 bytes each) are found by a broadcast, more by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
+#: Fragments for each possible difference where sets are looked at closely.
+FINER = 4
+NO_LIMIT = 1 << 40
+
 M1, M2, M3 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -107,24 +112,29 @@ def signatures(gram: np.ndarray, text: np.ndarray, n: np.ndarray) -> list[bytes]
 
 
 def segment_keys(
-    gram: np.ndarray, text: np.ndarray, n: np.ndarray, per_cent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that linked sets share at least one of, and the text of each.
+    gram: np.ndarray, text: np.ndarray, n: np.ndarray, per_cent: int, finer: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that linked sets share at least one of, the text of each, its limit and its fragment.
 
     A scheme belongs to a class of sizes. Each set takes that of its own class, and the next one's
     where a partner may be that large. A set with too many empty fragments in a scheme adds the
     least n-grams of its order, as many as two such sets need to meet.
+
+    There are ``finer`` times as many fragments as a pair can have differences. Whatever the order
+    of all keys, linked sets also share one of the first ``limit`` of each: at most so many
+    fragments less one can differ. A set with too many empty fragments has no limit. Limits of the
+    second scheme are negative, so that its keys are told apart. Single n-grams have fragment -1.
     """
     starts = class_starts()
     own = np.searchsorted(starts, n, "right") - 1
     most = n * 100 // per_cent
-    found_key, found_text = [], []
+    found_key, found_text, found_limit, found_fragment = [], [], [], []
     for step in (0, 1):
         scheme = own + step
         upper = starts[scheme + 1] - 1
         apart = most_apart(n + np.minimum(most, upper), per_cent)
         takes = (n > 0) & (apart > 0) & (most >= starts[scheme])
-        cuts = (most_apart(2 * upper, per_cent) + 1 + SLACK).astype(np.uint64)
+        cuts = (finer * most_apart(2 * upper, per_cent) + 1 + SLACK).astype(np.uint64)
         chosen = takes[text]
         g, t = gram[chosen], text[chosen]
         if not len(g):
@@ -136,7 +146,10 @@ def segment_keys(
         found_key.append(mixed(key ^ mixed(tag, M1), M3))
         found_text.append(t[first])
         full = np.bincount(t[first], minlength=len(n))
-        odd = takes & (cuts.astype(np.int64) - apart <= cuts.astype(np.int64) - full)
+        odd = takes & (full <= apart)
+        limit = np.where(odd, NO_LIMIT, apart + 1) * (1 - 2 * step)
+        found_limit.append(limit[t[first]])
+        found_fragment.append(fragment[first].astype(np.int64))
         if odd.any():
             prefix = n - -(-n * per_cent // 100) + 1
             begin = np.cumsum(n) - n
@@ -144,9 +157,13 @@ def segment_keys(
             tag = scheme[text[near]].astype(np.uint64) << np.uint64(40)
             found_key.append(mixed(gram[near] ^ mixed(tag, M2), M1))
             found_text.append(text[near])
-    if not found_key:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(found_key), np.concatenate(found_text)
+            found_limit.append(limit[text[near]])
+            found_fragment.append(np.full(int(near.sum()), -1))
+    empty = [np.zeros(0, dtype=np.int64)]
+    return (
+        np.concatenate([np.zeros(0, dtype=np.uint64), *found_key]),
+        *(np.concatenate(empty + found) for found in (found_text, found_limit, found_fragment)),
+    )
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -171,7 +188,7 @@ def _with_sets(docs: DataFrame, keep: list[str], width: int, per_cent: int, text
         for whole in batches:
             for batch in pieces(whole, "text"):
                 gram, owner, n = shingle_sets(batch.column(len(keep) + 1).to_pylist(), width)
-                key, key_owner = segment_keys(gram, owner, n, per_cent)
+                key, key_owner, _, _ = segment_keys(gram, owner, n, per_cent)
                 columns = [
                     *batch.columns[:-1],
                     pa.array(signatures(gram, owner, n), pa.binary()),
@@ -204,6 +221,25 @@ def _parts(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, schema)
 
 
+def _fine_keys(rows: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Signature, keys and limits of a finer partition, for texts of ``rows``."""
+    schema = "_sig binary, keys array<long>, limits array<long>, fragments array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                gram, owner, n = shingle_sets(batch.column(0).to_pylist(), width)
+                key, key_owner, *more = segment_keys(gram, owner, n, per_cent, FINER)
+                columns = [
+                    pa.array(signatures(gram, owner, n), pa.binary()),
+                    _lists(key, key_owner, len(n)),
+                    *[_lists(values, key_owner, len(n)) for values in more],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["_sig", "keys", "limits", "fragments"])
+
+    return rows.select("text").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node it is linked with) of every node in ``a`` and ``b``.
 
@@ -247,21 +283,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    """Finds out which pairs of nodes link."""
+    """Looks into the texts of some nodes."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, per_cent: int, text: str):
         self.docs, self.nodes, self.width, self.per_cent, self.text = docs, nodes, width, per_cent, text
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b, na, nb) those that link."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = stored(self.nodes.join(wanted, "node").select("node", "_sig", "_text"), "wanted")
+    def _wanted(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Some ``nodes`` with their signatures, and texts that have these (perhaps repeatedly)."""
+        wanted = stored(self.nodes.select("node", "_sig", "_text").join(nodes, "node"), "wanted")
         keys = wanted.select("_text").distinct()
         if wanted.count() <= BROADCAST_ROWS:  # counted just now
             keys = F.broadcast(keys)
         texts = self.docs.select(F.xxhash64(self.text).alias("_text"), F.col(self.text).alias("text"))
-        parts = _parts(texts.join(keys, "_text", "left_semi"), self.width)
-        parts = parts.groupBy("_sig", "fragment").agg(F.first("part").alias("part"))
+        return wanted, texts.join(keys, "_text", "left_semi")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a, b, na, nb) those that link, from the overlaps in each fragment."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted, texts = self._wanted(nodes)
+        parts = _parts(texts, self.width).groupBy("_sig", "fragment").agg(F.first("part").alias("part"))
         parts = stored(parts.join(wanted.select("node", "_sig"), "_sig").select("node", "fragment", "part"), "parts")
         left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
         right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
@@ -271,14 +311,53 @@ class _Linker:
             .select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("same"))
         )
         same = partial.groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
-        linked = stored(
-            same.where(100 * F.col("same") >= self.per_cent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b"),
-            "links",
-        )
+        union = F.col("na") + F.col("nb") - F.col("same")
+        linked = stored(same.where(100 * F.col("same") >= self.per_cent * union).select("a", "b"), "links")
         forget(parts)
         forget(wanted)
         return linked
 
+    def close_groups(self, nodes: DataFrame) -> DataFrame:
+        """``key``, the columns of ``nodes``, ``own`` and ``bound``: linked ones share a key that is
+        rare among them.
+
+        Each set keeps its rarest keys of a finer partition up to its limit. Sets with more
+        differences from all others than a link allows have that many keys of their own and drop out.
+        ``own`` holds the fragments where a set is like no other. Two sets differ in the fragments
+        that either of them owns, so linked ones own less than the ``bound`` of both together.
+        """
+        wanted, texts = self._wanted(nodes)
+        fine = _fine_keys(texts, self.width, self.per_cent).groupBy("_sig").agg(
+            F.first(F.struct("keys", "limits", "fragments")).alias("fine")
+        )
+        rows = wanted.drop("_text").join(fine, "_sig").drop("_sig")
+        rows = rows.withColumn("each", F.explode(F.arrays_zip("fine.keys", "fine.limits", "fine.fragments")))
+        found = [F.col(f"each.{name}s").alias(name) for name in ("key", "limit", "fragment")]
+        rows = stored(rows.select("*", *found).drop("fine", "each"), "fine")
+        forget(wanted)
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        # keys of one set only come first; of those only the number matters
+        shared = rows.join(often, "key")
+        alone = rows.join(often, "key", "left_anti").groupBy("node", "limit").agg(
+            F.count(F.lit(1)).alias("alone"),
+            F.collect_list(F.when(F.col("fragment") >= 0, F.col("fragment"))).alias("own"),
+        )
+        rank = F.row_number().over(Window.partitionBy("node", "limit").orderBy("c", "key"))
+        ranked = shared.withColumn("place", rank).join(alone, ["node", "limit"], "left")
+        kept = ranked.where(F.col("place") + F.coalesce("alone", F.lit(0)) <= F.abs("limit"))
+        kept = kept.withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+        kept = kept.withColumn("bound", F.abs("limit"))
+        groups = stored(kept.drop("c", "place", "alone", "limit", "fragment"), "groups")
+        forget(rows)
+        return groups
+
+
+def _open_groups(placed: DataFrame) -> DataFrame:
+    """Rows of groups (``key``) with several ``root``s, and ``top``, the root with the most rows."""
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    return placed.join(largest.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
+
 
 def similar_sets(
     docs: DataFrame, width: int = 5, per_cent: int = 80, key: str = "doc_id", text: str = "text"
@@ -298,7 +377,7 @@ def similar_sets(
         F.min(key).alias("_first"), F.first("_text").alias("_text"), F.first("_keys").alias("_keys")
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    link = _Linker(docs, nodes, width, per_cent, text)
+    linker = _Linker(docs, nodes, width, per_cent, text)
     rows = nodes.select("node", "_n", F.explode("_keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = stored(rows.join(counts, "key"), "shared")
@@ -314,18 +393,20 @@ def similar_sets(
         .distinct()
     )
     star = stored(star, "star")
-    links = link(star)
+    links = linker.links(star)
     roots = components(links)
-    # groups in which several components are left: all nodes against those outside the largest one
+    # groups in which several components are left, with a closer look at their sets
     placed = scored.join(roots, "node", "left").select("key", "node", "_n", F.coalesce("root", "node").alias("root"))
-    placed = stored(placed, "placed")
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    mixed_groups = largest.where("roots > 1").select("key", F.col("top.root").alias("top"))
-    open_ = stored(placed.join(mixed_groups, "key"), "open")
-    few = open_.where("root <> top").select("key", F.col("node").alias("x"), F.col("_n").alias("nx"), F.col("root").alias("rx"))
-    every = open_.select("key", F.col("node").alias("y"), F.col("_n").alias("ny"), F.col("root").alias("ry"))
-    rest = few.join(every, "key").where((F.col("rx") != F.col("ry")) & size(F.col("nx"), F.col("ny")))
+    open_ = _open_groups(stored(placed, "placed")).select("node", "_n", "root").distinct()
+    close = _open_groups(linker.close_groups(open_))
+    forget(scored)
+    names = {"node": "", "_n": "n", "root": "r", "own": "o", "bound": "b"}
+    few, every = (
+        rows.select("key", *[F.col(c).alias(short + side) for c, short in names.items()])
+        for rows, side in ((close.where("root <> top"), "x"), (close, "y"))
+    )
+    near = F.size(F.array_union("ox", "oy")) < F.least("bx", "by")
+    rest = few.join(every, "key").where((F.col("rx") != F.col("ry")) & size(F.col("nx"), F.col("ny")) & near)
     swap = F.col("x") > F.col("y")
     rest = rest.select(
         F.least("x", "y").alias("a"),
@@ -335,11 +416,8 @@ def similar_sets(
     ).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    more = link(rest)
+    more = linker.links(rest)
     roots = components(links.union(more))
-    forget(placed)
-    forget(open_)
-    forget(scored)
     ids = nodes.select("node", "_sig", "_first").join(roots, "node", "left")
     ids = ids.withColumn("root", F.coalesce("root", "node"))
     names = ids.groupBy("root").agg(F.min("_first").alias("component_id"))

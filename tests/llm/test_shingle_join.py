@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -69,14 +69,27 @@ def test_as_all_pairs(spark, width, per_cent):
     assert got == dict(enumerate(brute(texts, width, per_cent)))
 
 
+def first_keys(key, owner, limit):
+    """The rarest keys of each text up to its limits."""
+    often = Counter(key.tolist())
+    mine = defaultdict(list)
+    for k, o, most in zip(key.tolist(), owner.tolist(), limit.tolist()):
+        mine[o, most].append(k)
+    out = defaultdict(set)
+    for (o, most), keys in mine.items():
+        out[o] |= set(sorted(keys, key=lambda k: (often[k], k))[: abs(most)])
+    return out
+
+
 @pytest.mark.parametrize("per_cent", [50, 80, 90])
 def test_linked_sets_share_a_key(per_cent):
     texts = near_copies(3, 300, [5, 9, 11, 14, 30, 100, 300])
     gram, owner, n = shingle_sets(texts, 2)
-    key, key_owner = segment_keys(gram, owner, n, per_cent)
+    key, key_owner, _, _ = segment_keys(gram, owner, n, per_cent)
     keys = defaultdict(set)
     for k, o in zip(key.tolist(), key_owner.tolist()):
         keys[o].add(k)
+    first = first_keys(*segment_keys(gram, owner, n, per_cent, 4)[:3])
     sets = sets_of(texts, 2)
     assert n.tolist() == [len(s) for s in sets]
     checked = 0
@@ -84,6 +97,7 @@ def test_linked_sets_share_a_key(per_cent):
         for j in range(i):
             if sets[i] != sets[j] and linked(sets[i], sets[j], per_cent):
                 assert keys[i] & keys[j], (len(sets[i]), len(sets[j]))
+                assert first[i] & first[j], (len(sets[i]), len(sets[j]))
                 checked += 1
     assert checked > 50
 
