@@ -87,11 +87,8 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     Three narrow shuffles: cells are aggregated and ordered within stretches of about a minute,
     the first cell of every stretch then collects what lies before it, and hands it on.
     """
-    # all rows of a key share one gap length unless near copies were merged
-    if opts.fuzzy:
-        gap_of_first = F.min_by("window_ms", F.struct(*ORDER))
-    else:
-        gap_of_first = F.max("window_ms")
+    # merged near copies may differ in gap length: a key has that of its first row
+    gap_of_first = F.min_by("window_ms", F.struct(*ORDER))
     cells = located.groupBy(*KEY, "cell").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("event_ms").alias("cell_first_ms"),

@@ -17,8 +17,10 @@ def read_lines(spark: SparkSession, path: str, event_ms: Column | None = None) -
     """Lines of text files as RawLine rows: ``source`` is the file, ``seq`` orders its lines.
 
     A newline ends a line, carriage returns are dropped, a last line without newline counts.
-    ``seq`` is the byte offset of the file split plus the line's position in it: a line takes at
-    least a byte, so it is unique and in file order, and one task never orders more than a split.
+    ``seq`` is the byte offset of the file split plus the line's position in it, from 0 in the first
+    split and from 1 in the others, which leave the line at their own start to the one before. A line
+    takes at least a byte, so ``seq`` is unique and in file order, and one task never orders more
+    than a split.
     ``event_ms`` is an expression over ``line``.
     """
     scanned = (
@@ -31,9 +33,10 @@ def read_lines(spark: SparkSession, path: str, event_ms: Column | None = None) -
         .withColumn("scan_no", F.monotonically_increasing_id())
     )
     in_split = Window.partitionBy("source", "split_start").orderBy("scan_no")
+    first_split = (F.col("split_start") == 0).cast("int")
     lines = scanned.select(
         "source",
-        (F.col("split_start") + F.row_number().over(in_split) - 1).alias("seq"),
+        (F.col("split_start") + F.row_number().over(in_split) - first_split).alias("seq"),
         F.translate("line", "\r", "").alias("line"),
     )
     return lines.select(

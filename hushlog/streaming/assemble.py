@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hushlog.functions.classify import is_exception, is_trace_line
 from hushlog.options import Options
 
+#: A century: only the end row of a stream that is run to its end lies that far ahead.
+AT_THE_END_MS = 100 * 365 * 86_400_000
+
 _WAITING = {
     "seq": "long",
     "event_ms": "long",
@@ -88,14 +91,26 @@ def _step(quiet_ms: int):
 
 
 def assemble_stream(
-    lines: DataFrame, opts: Options = Options(), delay: str = "10 seconds"
+    lines: DataFrame,
+    opts: Options = Options(),
+    delay: str = "10 seconds",
+    close_after_ms: int = AT_THE_END_MS,
 ) -> DataFrame:
     """Messages of a stream of ``source, seq, event_ms, event_ts, line``, in append mode.
 
-    Lines wait for the watermark and are taken in order; a group still open after
-    ``opts.idle_ms`` without another line of its source is closed.
+    Lines wait for the watermark and are taken in order. As in a batch, only a line that is no trace
+    line, or the end of the stream, closes a group. A smaller ``close_after_ms`` also closes one
+    once its source has had no line for so long; trace lines that come later stand alone.
     """
     line = F.col("line")
+    if not (opts.detect_multiline and opts.console_enabled and opts.enabled):
+        return lines.withWatermark("event_ts", delay).filter(line != "").select(
+            "source",
+            "seq",
+            "event_ms",
+            line.alias("message"),
+            F.lit(1).cast("long").alias("n_lines"),
+        )
     rows = lines.select(
         "source",
         "seq",
@@ -106,5 +121,5 @@ def assemble_stream(
         is_exception(line).alias("opens"),
     ).withWatermark("event_ts", delay)
     return rows.groupBy("source").applyInPandasWithState(
-        _step(opts.idle_ms), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _step(close_after_ms), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -181,3 +181,17 @@ def test_no_task_orders_a_whole_key(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line or "Window(" in line]
     assert windows and all("cell" in w or "stretch" in w for w in windows)
     assert "Python" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_merged_copies_have_the_gap_of_the_first_row_after_a_pause(spark, fuzzy):
+    opts = Options(fuzzy=fuzzy)
+    rows = [(0, "save xx"), (3000, "note xx"), (3050, "save xx")]
+    df = spark.createDataFrame(
+        [("structured", "s", i, ms, "a", "INFO", text) for i, (ms, text) in enumerate(rows)],
+        "kind string, source string, seq long, event_ms long, logger string, level string,"
+        " message string",
+    )
+    led = keyed(df, opts).withColumn("leader_template", F.lit("save xx"))
+    got = with_bursts(led, opts).orderBy("seq").collect()
+    assert [r.burst_no for r in got] == [1, 2, 2]

@@ -58,3 +58,33 @@ def test_messages_equal_the_model(spark, tmp_path):
     got = run_to_end(spark, stream, lambda s: assemble_stream(s, delay="1 hour"), "messages").collect()
     assert {(r.source, r.seq): r.message for r in got} == expected
     assert len(got) == len(expected)
+
+
+def test_messages_stay_whole_over_long_silence_and_follow_the_options(spark, tmp_path):
+    rows = [
+        ("s", 0, 1_000, "a.FooException: x"),
+        ("t", 0, 21_000, "plain"),
+        ("s", 1, 101_500, "\tat a.B(B)"),
+        ("t", 1, 200_000, ""),
+    ]
+    folder = str(tmp_path / "lines")
+    for row in rows:
+        df = spark.createDataFrame([row], "source string, seq long, event_ms long, line string")
+        timed = df.withColumn("event_ts", F.timestamp_millis("event_ms"))
+        timed.coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    stream = reader.option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def messages(**given):
+        got = run_to_end(spark, stream, lambda s: assemble_stream(s, **given), "messages").collect()
+        return sorted((r.source, r.seq, r.message, r.n_lines) for r in got)
+
+    assert messages() == [
+        ("s", 0, "a.FooException: x\n\tat a.B(B)", 2),
+        ("t", 0, "plain", 1),
+    ]
+    assert messages(opts=Options(detect_multiline=False)) == [
+        ("s", 0, "a.FooException: x", 1),
+        ("s", 1, "\tat a.B(B)", 1),
+        ("t", 0, "plain", 1),
+    ]
