@@ -46,6 +46,7 @@ TEXT_ONLY = Options(
     normalize_addresses=False,
     normalize_timings=False,
 )
+EXACT = Options(long_text="exact")
 LINES = PLAIN.with_(block_rows=views.LINE_BLOCK)
 KEYS = ["source", "seq", "logger", "level"]
 
@@ -230,7 +231,7 @@ def surviving_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surviving_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source, near copies merged, full report rule."""
-    return quiet_log(cut(_all_sources(spark, sf_dir)))
+    return quiet_log(cut(_all_sources(spark, sf_dir)), EXACT)
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
