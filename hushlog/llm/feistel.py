@@ -11,7 +11,7 @@ import calendar
 import datetime
 import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -70,8 +70,27 @@ def _letters(text: str, hexadecimal: bool = False) -> list[str | None]:
     return [next((s for s in sets if c in s), None) for c in text]
 
 
+#: Characters permuted as one number. A longer text goes block by block.
+BLOCK = 128
+
+
 def _spelled(text: str, alphabets: Sequence[str | None], key: bytes, tweak: str, back: bool) -> str:
-    """``text`` with its characters permuted together, each within its alphabet."""
+    """``text`` with its characters permuted together, each within its alphabet.
+
+    Each block of a long text is permuted by the text's length and the blocks before it.
+    """
+    if len(text) <= BLOCK:
+        return _block(text, alphabets, key, tweak, back)
+    out, before = [], hashlib.blake2b(key=key, digest_size=16)
+    for at in range(0, len(text), BLOCK):
+        old, chain = text[at : at + BLOCK], f"{tweak}/{len(text)}/{before.hexdigest()}"
+        new = _block(old, alphabets[at : at + BLOCK], key, chain, back)
+        before.update((new if back else old).encode())
+        out.append(new)
+    return "".join(out)
+
+
+def _block(text: str, alphabets: Sequence[str | None], key: bytes, tweak: str, back: bool) -> str:
     number, size = 0, 1
     for c, alphabet in zip(text, alphabets):
         if alphabet:
@@ -277,15 +296,54 @@ def platform_key(text: str, key: bytes, back: bool) -> str | None:
     return text[:head] + _spelled(text[head:], _letters(text[head:]), key, "platform", back)
 
 
+def _group_ends(text: str) -> list[int]:
+    """Where a group of digits ends, the longest first."""
+    return [m.end() for m in re.finditer(r"\d+\)?", text)][::-1]
+
+
+def _card_ends(text: str) -> list[int]:
+    """All of the text, then shorter ends with one way of grouping."""
+    whole, *shorter = _group_ends(text)
+    return [whole, *(end for end in shorter if len(set(re.findall(r"\D", text[:end]))) < 2)]
+
+
+#: Characters of an account number by country.
+IBAN_CHARS = {
+    country: int(n)
+    for n, countries in (
+        entry.split(":")
+        for entry in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,MN,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV"
+            " 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL"
+            " 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM"
+            " 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
+
+
+def _account_ends(text: str) -> list[int]:
+    """The length of the country first; all of the text; for other countries each group's end."""
+    ends = [m.end() for m in re.finditer(r"[A-Z0-9]+", text)][::-1]
+    if text[:2] not in IBAN_CHARS:
+        return ends
+    own = [end for end in ends if end - text.count(" ", 0, end) == IBAN_CHARS[text[:2]]]
+    return own + ends[:1]
+
+
 @dataclass(frozen=True)
 class Kind:
     """``make`` gets what the pattern found (its group ``v``, if it has one) and gives the pseudonym,
-    or None where a check fails. A text without ``sign`` is not searched."""
+    or None where a check fails. A text without ``sign`` is not searched. ``ends`` gives the ends of a
+    match to try, for patterns that may take in what stands behind a value; where all of them fail,
+    the next start is tried."""
 
     name: str
     pattern: str
     make: Callable[[str, bytes, bool], str | None]
     sign: str = r"\d"
+    ends: Callable[[str], list[int]] | None = None
 
 
 MONTH = "(?:" + "|".join(MONTHS) + ")"
@@ -301,7 +359,7 @@ KINDS: tuple[Kind, ...] = (
     Kind(
         "secret",
         r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-        r"(?P<v>(?=[A-Za-z+/_.~-]{0,127}\d)[A-Za-z0-9][A-Za-z0-9+/_.~-]{4,126}[A-Za-z0-9])",
+        r"(?P<v>(?=[A-Za-z+/_.~-]*\d)[A-Za-z0-9][A-Za-z0-9+/_.~-]{4,}[A-Za-z0-9])",
         secret,
     ),
     Kind(
@@ -311,8 +369,8 @@ KINDS: tuple[Kind, ...] = (
         "gh._|sk-|xox|AIza",
     ),
     Kind("access_key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}\b", access_key, "A[KSRI]"),
-    Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    Kind("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)", card),
+    Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban, ends=_account_ends),
+    Kind("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)", card, ends=_card_ends),
     Kind("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", address),
     Kind("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
     Kind(
@@ -320,7 +378,7 @@ KINDS: tuple[Kind, ...] = (
         r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|-\d)",
         phone,
     ),
-    Kind("phone", r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)", international, r"\+"),
+    Kind("phone", r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)", international, r"\+", _group_ends),
     Kind("date", r"(?<![\d/.-])\d{4}([-/.])\d{1,2}\1\d{1,2}(?![\d/-]|\.\d)", date),
     Kind("date", r"(?<![\d/.-])\d{1,2}([-/.])\d{1,2}\1\d{4}(?![\d/-]|\.\d)", date),
     Kind("date", rf"(?i:\b\d{{1,2}} {MONTH} \d{{4}}\b)", date),
@@ -329,6 +387,35 @@ KINDS: tuple[Kind, ...] = (
 _PATTERNS = [(kind, re.compile(kind.pattern, re.ASCII), re.compile(kind.sign, re.ASCII)) for kind in KINDS]
 
 
+#: No match of a pattern with several ends is longer.
+LONGEST = 64
+#: What was tried in vain: by its start, the check and the end.
+Failed = dict[int, list[tuple[Callable[[str, bytes, bool], str | None], int]]]
+
+
+def _candidates(kind: Kind, pattern: re.Pattern, text: str, taken: bytearray, failed: Failed) -> Iterator[tuple[int, int]]:
+    """Places to try; those sent back as wrong are kept in ``failed``."""
+    if not kind.ends:
+        for match in pattern.finditer(text):
+            start, end = match.span("v") if "v" in pattern.groupindex else match.span()
+            if not any(taken[start:end]):
+                yield start, end
+        return
+    at = 0
+    while match := pattern.search(text, at):
+        start = match.start()
+        at = start + 1
+        for end in kind.ends(match.group()):
+            end += start
+            if any(taken[start:end]):
+                continue
+            yield start, end
+            if taken[start]:
+                at = end
+                break
+            failed.setdefault(start, []).append((kind.make, end))
+
+
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """``text`` with pseudonyms, and the kind and place of each in the new text.
 
@@ -336,15 +423,27 @@ def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[
     """
     taken = bytearray(len(text))
     found = []
+    failed: Failed = {}
+
+    def revived(start: int, end: int, new: str) -> bool:
+        """Would something tried in vain over this place be found in the new text?"""
+        for a in range(max(0, start - LONGEST), end) if failed else ():
+            for make, b in failed.get(a, ()):
+                if b > start and not any(taken[a:b]):
+                    piece = text[a:start] + new[max(0, a - start) : max(0, b - start)] + text[end:b]
+                    if make(piece, key, back) is not None:
+                        return True
+        return False
+
     for kind, pattern, sign in _PATTERNS:
         if not sign.search(text):
             continue
-        for match in pattern.finditer(text):
-            start, end = match.span("v") if "v" in pattern.groupindex else match.span()
-            if any(taken[start:end]):
-                continue
+        for start, end in _candidates(kind, pattern, text, taken, failed):
             new = kind.make(text[start:end], key, back)
             if new is not None:
+                # permuted on until the way back finds this place and no other
+                while revived(start, end, new):
+                    new = kind.make(new, key, back)
                 taken[start:end] = b"\1" * (end - start)
                 found.append((start, end, kind.name, new))
     out, places, at, length = [], [], 0, 0
