@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
@@ -24,8 +24,8 @@ WINDOW = 256
 FILTERS = {2: 8, 3: 12, 4: 12}
 WIDEST = max(FILTERS)
 EMBEDDED = 8
-#: The training sample: about so many texts of each language (by a hash of the text), at most so
-#: many windows of each text, evenly spread over the whole of it.
+#: The training sample: at most so many different texts of each language (the least by hash), at most
+#: so many windows of each text, evenly spread over the whole of it.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 500, 4
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Windows that go through the filters at once.
@@ -145,44 +145,56 @@ def train(windows: np.ndarray, labels: np.ndarray, names: list[str], seed: int =
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Network:
     """A network for the labels of ``labelled``; rows without text or label are left out.
 
-    Of each label about ``SAMPLE_TEXTS`` texts are taken by a hash of the text, and at most
+    Of each label the ``SAMPLE_TEXTS`` different texts with the least hashes are taken, and at most
     ``SAMPLE_WINDOWS`` windows of each. No row gives a network without labels.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"))
     rows = rows.where("text IS NOT NULL AND label IS NOT NULL AND length(text) > 0")
-    # a label's name and number: as many rows as there are languages
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(counts)
-    if not names:
-        empty = np.zeros((0, 0), np.float32)
-        return Network([], empty, empty, empty, empty, empty)
-    share = F.create_map(*[F.lit(v) for n in names for v in (n, min(1.0, SAMPLE_TEXTS / counts[n]))])
-    spot = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.where(spot < share[F.col("label")])
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit("sample")))
+    least = Window.partitionBy("label").orderBy("hash")
+    chosen = (
+        rows.select("label", "hash")
+        .distinct()
+        .withColumn("place", F.row_number().over(least))
+        .where(F.col("place") <= SAMPLE_TEXTS)
+        .drop("place")
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of a task: no more than are chosen
         for batch in batches:
-            labels, found = [], []
-            for one, name in zip(*(c.to_pylist() for c in batch.columns)):
-                taken = some_windows(one.encode())
-                found += [window.tobytes() for window in taken]
-                labels += [name] * len(taken)
+            out = []
+            for one, name, spot in zip(*(c.to_pylist() for c in batch.columns)):
+                if (name, spot) not in seen:
+                    seen.add((name, spot))
+                    out.append((name, spot, some_windows(one.encode()).tobytes()))
+            names, spots, windows = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.binary()), pa.array(labels, pa.string())], ["window", "label"]
+                [pa.array(names, pa.string()), pa.array(spots, pa.int64()), pa.array(windows, pa.binary())],
+                ["label", "hash", "windows"],
             )
 
-    sample = chosen.mapInArrow(cut, "window binary, label string").collect()
-    sample.sort(key=lambda r: (r.label, bytes(r.window)))
-    if not sample:  # no hash of a few texts fell into the share
-        return fit_rows(rows.limit(SAMPLE_TEXTS).collect(), names)
-    windows = np.stack([np.frombuffer(r.window, dtype=np.uint8) for r in sample])
-    labels = np.array([names.index(r.label) for r in sample])
-    return train(windows, labels, names)
-
-
-def fit_rows(rows: list, names: list[str]) -> Network:
-    pairs = [(w, names.index(r.label)) for r in rows for w in some_windows(r.text.encode())]
-    return train(np.stack([w for w, _ in pairs]), np.array([k for _, k in pairs]), names)
+    sample = (
+        rows.join(F.broadcast(chosen), ["label", "hash"])
+        .select("text", "label", "hash")
+        .mapInArrow(cut, "label string, hash long, windows binary")
+        .groupBy("label", "hash")
+        .agg(F.min("windows").alias("windows"))
+        .collect()
+    )
+    # a label's name and number: as many rows as there are languages
+    names = sorted({r.label for r in sample})
+    if not names:
+        empty = np.zeros((0, 0), np.float32)
+        return Network([], empty, empty, empty, empty, empty)
+    pairs = sorted(
+        (r.label, window.tobytes())
+        for r in sample
+        for window in np.frombuffer(r.windows, dtype=np.uint8).reshape(-1, WINDOW + WIDEST - 1)
+    )
+    number = {name: k for k, name in enumerate(names)}
+    windows = np.stack([np.frombuffer(window, dtype=np.uint8) for _, window in pairs])
+    return train(windows, np.array([number[name] for name, _ in pairs]), names)
 
 
 def predict(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
