@@ -21,13 +21,12 @@ class Signature:
     pattern: str
 
 
-V = r"(?:version |v )?"
+V = r"(?:version |v ?)?"
 LATER = r"(?: (?:or|and) (?:\(at your option\) |at your option )?(?:any )?later(?: versions?)?| plus)"
-GPL = r"(?:gnu )?(?:general public licen[sc]e|gpl)"
-LGPL = r"(?:gnu )?(?:(?:lesser|library) (?:general )?public licen[sc]e|lgpl)"
-AGPL = r"(?:gnu )?(?:affero (?:general )?public licen[sc]e|agpl)"
-FDL = r"(?:gnu )?(?:free documentation licen[sc]e|gfdl|fdl)"
-CC = r"(?:creative commons|cc)"
+GPL, GPL_SHORT = r"(?:gnu )?general public licen[sc]e", r"(?:gnu )?gpl"
+LGPL, LGPL_SHORT = r"(?:gnu )?(?:lesser|library) (?:general )?public licen[sc]e", r"(?:gnu )?lgpl"
+AGPL, AGPL_SHORT = r"(?:gnu )?affero (?:general )?public licen[sc]e", r"(?:gnu )?agpl"
+FDL = r"(?:gnu )?free documentation licen[sc]e"
 OF_CC = r"(?: licen[sc]e)?"
 
 #: label, keyword, name of the licence
@@ -37,28 +36,39 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("gpl-2.0-or-later", "general public", rf"{GPL} {V}2(?: 0)?{LATER}"),
     ("gpl-3.0", "general public", rf"{GPL} {V}3(?: 0)?"),
     ("gpl-3.0-or-later", "general public", rf"{GPL} {V}3(?: 0)?{LATER}"),
-    ("gpl-1.0", "gpl", rf"gpl {V}1(?: 0)?"),
-    ("gpl-2.0", "gpl", rf"(?:gpl {V}2(?: 0)?|gplv2)"),
-    ("gpl-2.0-or-later", "gpl", rf"(?:gpl {V}2(?: 0)?|gplv2){LATER}"),
-    ("gpl-3.0", "gpl", rf"(?:gpl {V}3(?: 0)?|gplv3)"),
-    ("gpl-3.0-or-later", "gpl", rf"(?:gpl {V}3(?: 0)?|gplv3){LATER}"),
+    ("gpl-1.0", "gpl", rf"{GPL_SHORT} {V}1(?: 0)?"),
+    ("gpl-2.0", "gpl", rf"(?:{GPL_SHORT} {V}2(?: 0)?|gplv2)"),
+    ("gpl-2.0-or-later", "gpl", rf"(?:{GPL_SHORT} {V}2(?: 0)?|gplv2){LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:{GPL_SHORT} {V}3(?: 0)?|gplv3)"),
+    ("gpl-3.0-or-later", "gpl", rf"(?:{GPL_SHORT} {V}3(?: 0)?|gplv3){LATER}"),
     ("gpl", "general public", r"gnu general public licen[sc]e"),
     ("lgpl-2.0", "public", rf"{LGPL} {V}2(?: 0)?"),
     ("lgpl-2.1", "public", rf"{LGPL} {V}2 1"),
     ("lgpl-2.1-or-later", "public", rf"{LGPL} {V}2 1{LATER}"),
     ("lgpl-3.0", "public", rf"{LGPL} {V}3(?: 0)?"),
     ("lgpl-3.0-or-later", "public", rf"{LGPL} {V}3(?: 0)?{LATER}"),
-    ("lgpl-2.1", "lgpl", r"(?:lgpl (?:v )?2 1|lgplv2 1)"),
-    ("lgpl-3.0", "lgpl", r"(?:lgpl (?:v )?3(?: 0)?|lgplv3)"),
+    ("lgpl-2.0", "lgpl", rf"(?:{LGPL_SHORT} {V}2(?: 0)?|lgplv2)"),
+    ("lgpl-2.1", "lgpl", rf"(?:{LGPL_SHORT} {V}2 1|lgplv2 1)"),
+    ("lgpl-2.1-or-later", "lgpl", rf"(?:{LGPL_SHORT} {V}2 1|lgplv2 1){LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:{LGPL_SHORT} {V}3(?: 0)?|lgplv3)"),
+    ("lgpl-3.0-or-later", "lgpl", rf"(?:{LGPL_SHORT} {V}3(?: 0)?|lgplv3){LATER}"),
     ("lgpl", "lesser general", r"gnu lesser general public licen[sc]e"),
     ("agpl-1.0", "affero", rf"{AGPL} {V}1(?: 0)?"),
     ("agpl-3.0", "affero", rf"{AGPL} {V}3(?: 0)?"),
     ("agpl-3.0-or-later", "affero", rf"{AGPL} {V}3(?: 0)?{LATER}"),
-    ("agpl-3.0", "agpl", r"(?:agpl (?:v )?3(?: 0)?|agplv3)"),
+    ("agpl-1.0", "agpl", rf"{AGPL_SHORT} {V}1(?: 0)?"),
+    ("agpl-3.0", "agpl", rf"(?:{AGPL_SHORT} {V}3(?: 0)?|agplv3)"),
+    ("agpl-3.0-or-later", "agpl", rf"(?:{AGPL_SHORT} {V}3(?: 0)?|agplv3){LATER}"),
     ("agpl", "affero", AGPL),
+    ("agpl", "agpl", AGPL_SHORT),
     ("gfdl-1.1", "free documentation", rf"{FDL} {V}1 1"),
     ("gfdl-1.2", "free documentation", rf"{FDL} {V}1 2"),
     ("gfdl-1.3", "free documentation", rf"{FDL} {V}1 3"),
+    *[
+        (f"gfdl-1.{minor}", short, rf"(?:gnu )?{short} {V}1 {minor}")
+        for short in ("gfdl", "fdl")
+        for minor in (1, 2, 3)
+    ],
     ("gfdl", "free documentation", r"gnu free documentation licen[sc]e"),
     ("apache-1.0", "apache", rf"apache(?: software)? licen[sc]e {V}1 0"),
     ("apache-1.1", "apache", rf"apache(?: software)? licen[sc]e {V}1 1"),
@@ -69,7 +79,8 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("mit-0", "mit no", r"mit no attribution(?: licen[sc]e)?"),
     ("x11", "x11", r"(?:mit )?x11 licen[sc]e"),
     ("bsd-0-clause", "bsd", r"(?:bsd 0 clause|0 clause bsd|zero clause bsd)(?: licen[sc]e)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|(?:new|modified|revised) bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?"),
     ("bsd", "bsd", r"(?:the )?bsd licen[sc]e"),
@@ -103,7 +114,8 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: version 1 1| 1 1)?"),
     ("unlicense", "unlicen", r"the unlicen[sc]e"),
     ("wtfpl", "wtfpl", r"wtfpl(?: version 2| v2)?"),
-    ("python-2.0", "python", r"(?:python software foundation|psf) licen[sc]e(?: version 2)?"),
+    ("python-2.0", "python", r"python software foundation licen[sc]e(?: version 2)?"),
+    ("python-2.0", "psf", r"psf licen[sc]e(?: version 2)?"),
     ("php-3.01", "php", r"php licen[sc]e(?: version)? 3 0?1"),
     ("php-3.0", "php", r"php licen[sc]e(?: version)? 3 0"),
     ("ruby", "ruby", r"ruby licen[sc]e"),
@@ -117,7 +129,9 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("afl-3.0", "academic free", rf"academic free licen[sc]e(?: {V}3 0)?"),
     ("qpl-1.0", "q public", rf"q public licen[sc]e(?: {V}1 0)?"),
     ("lppl-1.3", "latex", r"latex project public licen[sc]e(?: version 1 3[ac]?)?"),
-    ("odbl-1.0", "open database", r"open(?: data commons)? (?:open )?database licen[sc]e(?: v1 0| 1 0)?"),
+    ("odbl-1.0", "open database", r"open database licen[sc]e(?: v1 0| 1 0)?"),
+    ("odbl-1.0", "open open database", r"open open database licen[sc]e(?: v1 0| 1 0)?"),
+    ("odbl-1.0", "open data commons", r"open data commons (?:open )?database licen[sc]e(?: v1 0| 1 0)?"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e(?: v1 0| 1 0)?"),
     ("pddl-1.0", "public domain dedication", r"public domain dedication and licen[sc]e(?: v1 0| 1 0)?"),
     ("cdla-permissive-2.0", "community data", r"community data licen[sc]e agreement permissive(?: version)? 2 0"),
@@ -135,20 +149,21 @@ FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("cecill-2.1", "cecill", r"cecill(?: licen[sc]e)?(?: version)? 2 1"),
     ("cecill", "cecill", r"cecill(?: free software)? licen[sc]e"),
     *[
-        (f"cc-{label}-{v}", keyword, rf"{CC} {names} {v.replace('.', ' ')}(?: (?:international|unported|generic))?")
-        for label, keyword, names in (
-            ("by", "cc by", r"by"),
-            ("by-sa", "cc by", r"by sa"),
-            ("by-nc", "cc by", r"by nc"),
-            ("by-nd", "cc by", r"by nd"),
-            ("by-nc-sa", "cc by", r"by nc sa"),
-            ("by-nc-nd", "cc by", r"by nc nd"),
-            ("by", "creative commons", rf"attribution{OF_CC}"),
-            ("by-sa", "creative commons", rf"attribution share ?alike{OF_CC}"),
-            ("by-nc", "creative commons", rf"attribution non ?commercial{OF_CC}"),
-            ("by-nd", "creative commons", rf"attribution no ?deriv(?:ative)?s?(?: works)?{OF_CC}"),
-            ("by-nc-sa", "creative commons", rf"attribution non ?commercial share ?alike{OF_CC}"),
-            ("by-nc-nd", "creative commons", rf"attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?{OF_CC}"),
+        (f"cc-{label}-{v}", f"{cc} {word}", rf"{cc} {names} {v.replace('.', ' ')}(?: (?:international|unported|generic))?")
+        for cc in ("cc", "creative commons")
+        for label, word, names in (
+            ("by", "by", r"by"),
+            ("by-sa", "by", r"by sa"),
+            ("by-nc", "by", r"by nc"),
+            ("by-nd", "by", r"by nd"),
+            ("by-nc-sa", "by", r"by nc sa"),
+            ("by-nc-nd", "by", r"by nc nd"),
+            ("by", "attribution", rf"attribution{OF_CC}"),
+            ("by-sa", "attribution", rf"attribution share ?alike{OF_CC}"),
+            ("by-nc", "attribution", rf"attribution non ?commercial{OF_CC}"),
+            ("by-nd", "attribution", rf"attribution no ?deriv(?:ative)?s?(?: works)?{OF_CC}"),
+            ("by-nc-sa", "attribution", rf"attribution non ?commercial share ?alike{OF_CC}"),
+            ("by-nc-nd", "attribution", rf"attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?{OF_CC}"),
         )
         for v in ("2.0", "3.0", "4.0")
     ],
@@ -193,8 +208,9 @@ NOTICES: tuple[tuple[str, int, str, str], ...] = (
     ("public-domain", 2, "public domain", r"(?:released|placed|dedicated)(?: in)?(?: in)?to the public domain"),
     ("public-domain", 1, "public domain", r"(?:is|are) in the public domain"),
     ("proprietary", 2, "all rights reserved", r"all rights reserved"),
-    ("proprietary", 3, "proprietary and confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", 2, "may not be reproduced", r"may not be (?:reproduced|copied)(?: or (?:distributed|transmitted))?(?: in any form)?(?: without| in whole)"),
+    ("proprietary", 3, "proprietary and confidential", r"proprietary and confidential"),
+    ("proprietary", 3, "confidential and proprietary", r"confidential and proprietary"),
+    ("proprietary", 2, "may not be", r"may not be (?:reproduced|copied)(?: or (?:distributed|transmitted))?(?: in any form)?(?: without| in whole)"),
     ("copyright", 1, "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)*"),
     ("copyright", 1, "copyright", r"copyright holders?"),
     *[
@@ -212,6 +228,18 @@ BASE: tuple[tuple[str, str], ...] = (
     ("mit", "mit license"),
 )
 
+#: Labels that are no SPDX identifier, with the identifiers they have, if any.
+OTHER_IDS: dict[str, tuple[str, ...]] = {
+    "bsd-0-clause": ("0bsd",),
+    "lppl-1.3": ("lppl-1.3a", "lppl-1.3c"),
+    "mulan-psl-2.0": ("mulanpsl-2.0",),
+    "ogl-3.0": ("ogl-uk-3.0",),
+    "python-2.0": ("python-2.0", "psf-2.0"),
+} | dict.fromkeys(
+    ("gpl", "lgpl", "agpl", "gfdl", "apache", "bsd", "mpl", "epl", "eupl", "artistic", "cecill", "edl-1.0", "perl", "openrail",
+     "llama-community", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), ()
+)
+
 
 def signatures() -> list[Signature]:
     """All rules in order: of two on the same words, the one with the higher priority comes first."""
@@ -220,4 +248,8 @@ def signatures() -> list[Signature]:
         rules.append(Signature(label, 4, keyword, rf"spdx licen[sc]e identifier {name}"))
         rules.append(Signature(label, 3, keyword, rf"{GRANT} {name}"))
         rules.append(Signature(label, 1, keyword, name))
+    for label in dict.fromkeys(label for label, _, _ in FAMILIES):
+        for name in OTHER_IDS.get(label, (label,)):
+            words = name.replace("-", " ").replace(".", " ")
+            rules.append(Signature(label, 4, "spdx licen", rf"spdx licen[sc]e identifier {words}(?: only)?"))
     return sorted(rules, key=lambda r: -r.priority)

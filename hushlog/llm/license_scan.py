@@ -24,7 +24,7 @@ GATES = (
     "licen", "public", "copyright", "rights", "permission", "redistribut", "advertising", "endorse",
     "proprietary", "reproduced", "warranty", "liable", "software", "gpl", "fdl", "apache", "attribution",
     "bsd", "mpl", "cc0", "wtfpl", "openrail", "cecill", "opensource", "creative", "mozilla", "perl",
-    "beer", "zlib", "unencumbered", "mulan",
+    "beer", "zlib", "unencumbered", "mulan", "copied",
 )
 START, END = "\x01", "\x02"
 DETECTION = "array<struct<label:string,priority:int,start:int,end:int>>"
