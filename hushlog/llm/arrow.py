@@ -31,6 +31,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select([df[c] for c in df.columns if c.lower() not in taken])
 
 
+def free_names(taken: Sequence[str], n: int, stem: str) -> list[str]:
+    """``n`` column names that none of ``taken`` has (names compare without case)."""
+    used = {name.lower() for name in taken}
+    while any(name.startswith(f"_{stem}") for name in used):
+        stem += "_"
+    return [f"_{stem}{i}" for i in range(n)]
+
+
 def append_columns(
     df: DataFrame,
     fields: Sequence[StructField],

@@ -12,9 +12,13 @@ from hushlog.functions.checkpoints import shared_folder, stored
 from hushlog.llm.byte_cnn import fit, held_out, with_language
 from hushlog.llm.chunk_bpe import with_decoded, with_token_ids
 from hushlog.llm.feistel import with_pseudonyms
+from hushlog.llm.fill_in_middle import with_fill_in_middle, with_restored
 from hushlog.llm.hilbert_shards import hashed, scaled, with_shards
+from hushlog.llm.kernel_quality import fit as fit_quality
+from hushlog.llm.kernel_quality import with_quality, with_statistics
 from hushlog.llm.license_scan import certainty, label_list, with_licenses
 from hushlog.llm.positional_index import build_index, hit_words, search
+from hushlog.llm.prefix_trie import numbered, prefix_trie, rebuilt
 from hushlog.llm.quality_rules import MEASURES, with_measures, with_verdict
 from hushlog.llm.shingle_join import similar_sets
 from hushlog.llm.token_counts import with_token_counts
@@ -141,6 +145,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie(*rebuilt(numbered(turns)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = with_fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return with_restored(done).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored")
+    )
+
+
+def op13_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = stored(with_statistics(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "stats")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("doc_id").isNotNull() & ~apart)
+    labels = labels.groupBy("doc_id").agg(F.avg("quality").alias("label"))
+    model = fit_quality(docs.join(labels, "doc_id").select("stats", "label"))
+    return with_quality(docs, model).select(
+        "doc_id",
+        F.coalesce(apart, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 _QUERIES = [
     op1_token_counts,
     op2_pseudonyms,
@@ -152,6 +183,9 @@ _QUERIES = [
     op8_quality_rules,
     op9_chunk_bpe,
     op10_decontamination,
+    op11_prefix_trie,
+    op12_fill_in_middle,
+    op13_kernel_quality,
     pipeline,
 ]
 
@@ -242,8 +276,82 @@ SELECT doc_id, coalesce(s.n, 0) AS n_shingles, min(other) AS component_id
 FROM reached LEFT JOIN sizes s USING (doc_id) GROUP BY doc_id, s.n
 """
 
+TRIE_SQL = r"""
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(printf('%016X', strlen(coalesce(role, ''))) || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+heads AS (
+    SELECT c, n, c - c % 5 AS origin, xor(4294967295, list_reduce(
+        list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+            lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END
+        )) % 9 AS h
+    FROM sizes),
+convs AS (
+    SELECT e.c, e.n, e.origin, e.h, least(e.h, coalesce(s.n, 0)) AS got
+    FROM heads e LEFT JOIN sizes s ON s.c = e.origin),
+whole AS (
+    SELECT v.c, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.origin AND t.pos <= v.h
+    UNION ALL
+    SELECT v.c, v.got + t.pos - v.h, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+prefixes AS (
+    SELECT c, pos AS d, text, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY pos) AS k FROM whole
+    UNION ALL SELECT c, 0, '', [] FROM convs),
+nodes AS (
+    SELECT d, k, min(c) AS top, count(*) AS n, (count(*) - 1) * strlen(any_value(text)) AS saved
+    FROM prefixes GROUP BY d, k),
+paths AS (SELECT c, d, top FROM prefixes JOIN nodes USING (d, k)),
+kids AS (
+    SELECT p.top, p.d, count(*) AS n FROM nodes u JOIN paths p ON p.c = u.top AND p.d = u.d - 1 GROUP BY ALL),
+single AS (
+    SELECT u.*, coalesce(k.n, 0) AS n_children FROM nodes u LEFT JOIN kids k ON k.top = u.top AND k.d = u.d),
+sums AS (
+    SELECT p.top, p.d, sum(u.saved) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+    FROM single u JOIN paths p ON p.c = u.top AND p.d <= u.d GROUP BY ALL),
+ends AS (
+    SELECT p.top, p.d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+    FROM paths p JOIN convs v USING (c) WHERE p.d = v.got + greatest(v.n - v.h, 0) GROUP BY ALL)
+SELECT u.top AS conv_id, u.d AS depth, p.top AS parent_conv_id, u.n AS n_convs, u.n_children,
+    s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM single u JOIN sums s ON s.top = u.top AND s.d = u.d
+LEFT JOIN paths p ON p.c = u.top AND p.d = u.d - 1
+LEFT JOIN ends e ON e.top = u.top AND e.d = u.d
+"""
+
+FILL_SQL = r"""
+WITH draws AS (
+    SELECT *, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us
+    FROM documents),
+spots AS (
+    SELECT doc_id, coalesce(text, '') AS t, us, len(us) AS n,
+        CAST('0x' || d[1:8] AS BIGINT) % (len(us) + 1) AS a,
+        CAST('0x' || d[9:16] AS BIGINT) % (len(us) + 1) AS b,
+        CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4
+    FROM draws),
+pieces AS (
+    SELECT doc_id, t, n, array_to_string(us[:least(a, b)], '') AS p,
+        array_to_string(us[least(a, b) + 1:greatest(a, b)], '') AS m,
+        array_to_string(us[greatest(a, b) + 1:], '') AS s,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50
+            THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM spots)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM pieces
+"""
+
 SQL: dict[str, str] = {
     "op7_shingle_join": JOIN_SQL,
     "op8_quality_rules": QUALITY_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
+    "op11_prefix_trie": TRIE_SQL,
+    "op12_fill_in_middle": FILL_SQL,
 }
