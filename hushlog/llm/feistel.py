@@ -7,17 +7,18 @@ pseudonym, wherever it stands; other values get other ones; whoever has the key
 
 from __future__ import annotations
 
-import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from hushlog.llm.arrow import append_columns
+from hushlog.llm.arrow import append_columns, free_names
 
 ROUNDS = 8
 
@@ -213,81 +214,77 @@ def access_key(text: str, key: bytes, back: bool) -> str | None:
 
 
 def secret(text: str, key: bytes, back: bool) -> str | None:
-    """What is assigned to a password, token or key."""
+    """What is assigned to a password, token or key: six characters or more up to a quote, an angle
+    bracket, white space or closing punctuation, with a digit among them.
+
+    Keys of known platforms and clouds are those here too, so they stay linked with bare ones.
+    """
+    for pattern, make in KNOWN:
+        if pattern.fullmatch(text):
+            return make(text, key, back)
     hexadecimal = len(text) >= 8 and (set(text) <= set(HEX) or set(text) <= set(HEX.upper()))
+    alphabets = _letters(text)
     if hexadecimal:
-        alphabet = HEX if set(text) <= set(HEX) else HEX.upper()
-        while True:  # a secret has a digit, so its pseudonym must have one
-            text = _spelled(text, [alphabet] * len(text), key, "secret", back)
-            if any(c in DIGITS for c in text):
-                return text
-    return _spelled(text, _letters(text), key, "secret", back)
+        alphabets = [HEX if set(text) <= set(HEX) else HEX.upper()] * len(text)
+    while True:  # a secret has a digit and is no known key, so its pseudonym must be such a text
+        text = _spelled(text, alphabets, key, "secret", back)
+        if any(c in DIGITS for c in text) and not any(p.fullmatch(text) for p, _ in KNOWN):
+            return text
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
-#: Days of a month from the 13th on.
-LATE = 19
 MONTHS = [datetime.date(2000, m, 1).strftime("%B") for m in range(1, 13)]
 
 
+def _class_of(month: int, day: int) -> tuple[bool, int]:
+    """Dates that take the same numbers of digits, and after whose day no month could be meant."""
+    return month >= 10, (day >= 10) + (day >= 13)
+
+
+@cache
+def _days() -> dict[tuple[bool, int], list[tuple[int, int, int]]]:
+    """All days from the first to the last by class, in order."""
+    days: dict[tuple[bool, int], list[tuple[int, int, int]]] = {}
+    for number in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+        at = datetime.date.fromordinal(number)
+        days.setdefault(_class_of(at.month, at.day), []).append((at.year, at.month, at.day))
+    return days
+
+
 def date(text: str, key: bytes, back: bool) -> str | None:
     """Date of 1900 to 2099 as year-month-day, day.month.year, month/day/year or with a month's name.
 
-    A slashed date whose first number can't be a month is day/month/year; its pseudonym is one too.
-    Other ways of writing a day share their pseudonym.
+    A slashed date whose first number can't be a month is day/month/year. A day is replaced by one of
+    its class, so every way of writing it keeps its widths and order, and all share the pseudonym.
     """
-    numbers = [int(n) for n in re.findall(r"\d+", text)]
+    numbers = re.findall(r"\d+", text)
     name = re.search(r"[A-Za-z]{3,}", text)
     if name:
-        month = next((i for i, m in enumerate(MONTHS, 1) if m.lower() == name.group().lower()), 0)
-        day, year = numbers
-        order = "named"
-    elif text[4:5] in ("-", "/", "."):
-        (year, month, day), order = numbers, "ymd"
-    elif "/" in text and numbers[0] <= 12:
-        (month, day, year), order = numbers, "mdy"
+        order = "dy"
+    elif len(numbers[0]) == 4:
+        order = "ymd"
     else:
-        (day, month, year), order = numbers, "dmy/" if "/" in text else "dmy"
-    try:
-        at = datetime.date(year, month, day)
-    except ValueError:
-        return None
-    if not FIRST_DAY <= at <= LAST_DAY:
+        order = "mdy" if "/" in text and int(numbers[0]) <= 12 else "dmy"
+    parts = dict(zip(order, map(int, numbers)))
+    if name:
+        parts["m"] = next((i for i, m in enumerate(MONTHS, 1) if m.lower() == name.group().lower()), 0)
+    old = parts["y"], parts["m"], parts["d"]
+    days = _days().get(_class_of(*old[1:]), [])
+    place = bisect_left(days, old)
+    if place == len(days) or days[place] != old:
         return None
-    if order == "dmy/":  # only days from the 13th on are written so
-        number = ((at.year - 1900) * 12 + at.month - 1) * LATE + at.day - 13
-        while True:
-            number = changed(number, 200 * 12 * LATE, key, "late day", back)
-            month_no, day = number // LATE, number % LATE + 13
-            year, month = 1900 + month_no // 12, month_no % 12 + 1
-            if day <= calendar.monthrange(year, month)[1]:
-                break
-        at = datetime.date(year, month, day)
-    else:
-        span = (LAST_DAY - FIRST_DAY).days + 1
-        at = FIRST_DAY + datetime.timedelta(changed((at - FIRST_DAY).days, span, key, "day", back))
-    parts = {"y": f"{at.year:04d}", "m": at.month, "d": at.day}
+    tweak = "day{}{}".format(*_class_of(*old[1:]))
+    parts = dict(zip("ymd", days[changed(place, len(days), key, tweak, back)]))
+    slots = iter(order)
 
-    def like(old: str, new: int) -> str:
-        return f"{new:02d}" if len(old) == 2 else str(new)
-
-    pieces = re.findall(r"\d+|[A-Za-z]+|[^\dA-Za-z]+", text)
-    slots = {"ymd": "ymd", "mdy": "mdy", "dmy": "dmy", "dmy/": "dmy"}.get(order)
-    out, k = [], 0
-    for piece in pieces:
+    def like(match: re.Match) -> str:
+        piece = match.group()
         if piece.isdigit():
-            if order == "named":
-                out.append(parts["y"] if len(piece) == 4 else like(piece, parts["d"]))
-            else:
-                slot = slots[k]
-                out.append(parts["y"] if slot == "y" else like(piece, parts[slot]))
-            k += 1
-        elif name and piece == name.group():
-            full = MONTHS[at.month - 1]
-            out.append(full.upper() if piece.isupper() else full.lower() if piece.islower() else full)
-        else:
-            out.append(piece)
-    return "".join(out)
+            return str(parts[next(slots)]).zfill(len(piece))
+        full = MONTHS[parts["m"] - 1]
+        return full.upper() if piece.isupper() else full.lower() if piece.islower() else full
+
+    return re.sub(r"\d+|[A-Za-z]+", like, text)
 
 
 def platform_key(text: str, key: bytes, back: bool) -> str | None:
@@ -302,9 +299,14 @@ def _group_ends(text: str) -> list[int]:
 
 
 def _card_ends(text: str) -> list[int]:
-    """All of the text, then shorter ends with one way of grouping."""
-    whole, *shorter = _group_ends(text)
-    return [whole, *(end for end in shorter if len(set(re.findall(r"\D", text[:end]))) < 2)]
+    """All of the text, then shorter ends; one way of grouping, and short groups if there are any."""
+    return [
+        end
+        for end in _group_ends(text)
+        if text[:end].isdigit()
+        or len(set(re.findall(r"\D", text[:end]))) == 1
+        and max(map(len, re.findall(r"\d+", text[:end]))) <= 6
+    ]
 
 
 #: Characters of an account number by country.
@@ -347,6 +349,10 @@ class Kind:
 
 
 MONTH = "(?:" + "|".join(MONTHS) + ")"
+PLATFORM_KEY = r"(?:gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[baprs]-[A-Za-z0-9-]{10,64}|AIza[\w-]{35})"
+ACCESS_KEY = r"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}"
+#: What may also be assigned as a secret.
+KNOWN = [(re.compile(p, re.ASCII), make) for p, make in ((PLATFORM_KEY, platform_key), (ACCESS_KEY, access_key))]
 
 #: Earlier kinds win where two overlap.
 KINDS: tuple[Kind, ...] = (
@@ -359,16 +365,16 @@ KINDS: tuple[Kind, ...] = (
     Kind(
         "secret",
         r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-        r"(?P<v>(?=[A-Za-z+/_.~-]*\d)[A-Za-z0-9][A-Za-z0-9+/_.~-]{4,}[A-Za-z0-9])",
+        r"(?P<v>(?=[^\s\"'<>]*\d)[^\s\"'<>]{5,}[^\s\"'<>.,;:!?)\]}])",
         secret,
     ),
     Kind(
         "platform_key",
-        r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[baprs]-[A-Za-z0-9-]{10,64}|AIza[\w-]{35})\b",
+        rf"\b{PLATFORM_KEY}\b",
         platform_key,
         "gh._|sk-|xox|AIza",
     ),
-    Kind("access_key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}\b", access_key, "A[KSRI]"),
+    Kind("access_key", rf"\b{ACCESS_KEY}\b", access_key, "A[KSRI]"),
     Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban, ends=_account_ends),
     Kind("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)", card, ends=_card_ends),
     Kind("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", address),
@@ -387,70 +393,97 @@ KINDS: tuple[Kind, ...] = (
 _PATTERNS = [(kind, re.compile(kind.pattern, re.ASCII), re.compile(kind.sign, re.ASCII)) for kind in KINDS]
 
 
-#: No match of a pattern with several ends is longer.
-LONGEST = 64
-#: What was tried in vain: by its start, the check and the end.
-Failed = dict[int, list[tuple[Callable[[str, bytes, bool], str | None], int]]]
+#: Characters around crowded values that decide what is found there; no match of a pattern with
+#: several ends is longer.
+AROUND = 80
+#: Start, end, place of the kind in ``KINDS`` and pseudonym.
+Found = tuple[int, int, int, str]
 
 
-def _candidates(kind: Kind, pattern: re.Pattern, text: str, taken: bytearray, failed: Failed) -> Iterator[tuple[int, int]]:
-    """Places to try; those sent back as wrong are kept in ``failed``."""
-    if not kind.ends:
-        for match in pattern.finditer(text):
-            start, end = match.span("v") if "v" in pattern.groupindex else match.span()
-            if not any(taken[start:end]):
-                yield start, end
-        return
+def _candidates(rank: int, text: str, taken: bytearray) -> Iterator[tuple[int, int]]:
+    """Places to try that nothing has taken yet."""
+    kind, pattern, _ = _PATTERNS[rank]
     at = 0
     while match := pattern.search(text, at):
-        start = match.start()
-        at = start + 1
-        for end in kind.ends(match.group()):
-            end += start
+        start, end = match.span("v") if "v" in pattern.groupindex else match.span()
+        at = match.start() + 1
+        for length in kind.ends(match.group()) if kind.ends else [end - start]:
+            end = start + length
             if any(taken[start:end]):
                 continue
             yield start, end
-            if taken[start]:
+            if taken[start] or not kind.ends:
                 at = end
                 break
-            failed.setdefault(start, []).append((kind.make, end))
-
 
-def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """``text`` with pseudonyms, and the kind and place of each in the new text.
 
-    With ``back`` the pseudonyms are turned into the values they stand for.
-    """
+def _detected(text: str, key: bytes, back: bool) -> tuple[list[Found], list[tuple[int, int]]]:
+    """Values with their pseudonyms, and the places that overlap them and were tried in vain before."""
     taken = bytearray(len(text))
-    found = []
-    failed: Failed = {}
-
-    def revived(start: int, end: int, new: str) -> bool:
-        """Would something tried in vain over this place be found in the new text?"""
-        for a in range(max(0, start - LONGEST), end) if failed else ():
-            for make, b in failed.get(a, ()):
-                if b > start and not any(taken[a:b]):
-                    piece = text[a:start] + new[max(0, a - start) : max(0, b - start)] + text[end:b]
-                    if make(piece, key, back) is not None:
-                        return True
-        return False
-
-    for kind, pattern, sign in _PATTERNS:
+    found, failed = [], []
+    for rank, (kind, _, sign) in enumerate(_PATTERNS):
         if not sign.search(text):
             continue
-        for start, end in _candidates(kind, pattern, text, taken, failed):
+        for start, end in _candidates(rank, text, taken):
             new = kind.make(text[start:end], key, back)
-            if new is not None:
-                # permuted on until the way back finds this place and no other
-                while revived(start, end, new):
-                    new = kind.make(new, key, back)
+            if new is None:
+                failed.append((start, end))
+            else:
                 taken[start:end] = b"\1" * (end - start)
-                found.append((start, end, kind.name, new))
+                found.append((start, end, rank, new))
+    return sorted(found), [(a, b) for a, b in failed if any(taken[a:b])]
+
+
+def _crowds(found: list[Found], failed: list[tuple[int, int]]) -> list[list[Found]]:
+    """Values in groups; places tried in vain hold those of a group together."""
+    groups: list[list[Found]] = []
+    end = -1
+    for place in sorted([*found, *failed], key=lambda p: p[:2]):
+        if place[0] >= end:
+            groups.append([])
+        end = max(end, place[1])
+        groups[-1].append(place)
+    return groups
+
+
+def _walked(text: str, group: list[Found], key: bytes, back: bool) -> list[Found]:
+    """The values of a group replaced again and again, all at once, until the same places are found in
+    the new text. So the way back passes the same steps."""
+    first, last = min(p[0] for p in group), max(p[1] for p in group)
+    values = [p for p in group if len(p) > 2]
+    low = max(0, first - AROUND)
+    news = [p[3] for p in values]
+    while True:
+        piece, at, places = text[low:first], first, []
+        for (start, end, rank, _), new in zip(values, news):
+            piece += text[at:start]
+            places.append((len(piece), len(piece) + len(new), rank))
+            piece += new
+            at = end
+        piece += text[at:last]
+        inside = range(first - low, len(piece))
+        again, _ = _detected(piece + text[last : last + AROUND], key, back)
+        if [p[:3] for p in again if p[0] < inside.stop and p[1] > inside.start] == places:
+            return [(*p[:3], new) for p, new in zip(values, news)]
+        # pseudonyms are values of their kind
+        news = [KINDS[p[2]].make(new, key, back) or new for p, new in zip(values, news)]
+
+
+def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+    """``text`` with pseudonyms, and the kind and place of each in the new text.
+
+    With ``back`` the pseudonyms are turned into the values they stand for. Where a value stands so
+    near others that a pseudonym could make another match, all of them are replaced until it doesn't.
+    """
+    found, failed = _detected(text, key, back)
+    if failed:
+        groups = _crowds(found, failed)
+        found = [p for g in groups for p in (_walked(text, g, key, back) if any(len(f) == 2 for f in g) else g)]
     out, places, at, length = [], [], 0, 0
-    for start, end, name, new in sorted(found):
+    for start, end, rank, new in found:
         out += (text[at:start], new)
         length += start - at
-        places.append((name, length, length + len(new)))
+        places.append((KINDS[rank].name, length, length + len(new)))
         length += len(new)
         at = end
     out.append(text[at:])
@@ -463,8 +496,8 @@ def with_pseudonyms(
     """``docs`` with personal data in the text column replaced, and ``pii``: kind, start and end of
     each pseudonym in the new text, in characters.
 
-    A null text stays null with an empty ``pii``. Values that fail the check of their kind stay as
-    they are. Rows and other columns stay; a column named ``pii`` is replaced. The text column
+    A null text stays null with an empty ``pii``; an empty table gives an empty one. Texts of any
+    length are read whole. Values that fail the check of their kind stay as they are. Rows and other columns stay; a column named ``pii`` is replaced. The text column
     keeps its place.
     """
     places = StructType(
@@ -482,7 +515,8 @@ def with_pseudonyms(
             [[{"kind": k, "start": a, "end": b} for k, a, b in found] for _, found in done],
         )
 
-    fields = [StructField("_new_text", StringType()), StructField("pii", ArrayType(places))]
+    (changed_text,) = free_names(docs.columns, 1, "text")
+    fields = [StructField(changed_text, StringType()), StructField("pii", ArrayType(places))]
     made = append_columns(docs, fields, make, text)
-    others = [c for c in made.columns if c not in ("_new_text", "pii")]
-    return made.select(*[made["_new_text"].alias(c) if c == text else made[c] for c in others], "pii")
+    others = [c for c in made.columns if c not in (changed_text, "pii")]
+    return made.select(*[made[changed_text].alias(c) if c == text else made[c] for c in others], "pii")
