@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -28,7 +29,7 @@ from pyspark.sql.types import (
 )
 
 from hushlog.functions.checkpoints import forget, stored
-from hushlog.llm.arrow import pieces
+from hushlog.llm.arrow import free_names, pieces
 from hushlog.llm.token_files import pack, unpack
 
 #: Free positions between documents of a segment; no phrase or reach is longer.
@@ -51,13 +52,16 @@ def words_of(text: str | None) -> list[bytes]:
 def build_index(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row for each segment of ``docs``; ``keys`` are kept for each document.
 
-    A null text has no words. Repeated rows are documents of their own. No row, no segment.
+    A document's place is its segment's number and its own in the segment. A null text has no words.
+    Repeated rows are documents of their own. No row, no segment. Store the result before it is
+    searched: places belong to one run of the job.
     """
     kept = [docs.schema[k] for k in keys]
     schema = StructType(
         [
             *[StructField(f.name, ArrayType(f.dataType)) for f in kept],
             StructField("n_words", ArrayType(LongType())),
+            StructField("segment", LongType()),
             StructField("terms", BinaryType()),
             StructField("counts", BinaryType()),
             StructField("control", BinaryType()),
@@ -66,6 +70,9 @@ def build_index(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in pieces(whole, "text"):
                 found = [words_of(t) for t in batch.column(len(kept)).to_pylist()]
@@ -84,6 +91,7 @@ def build_index(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
                 row = [
                     *[pa.ListArray.from_arrays([0, len(batch)], c) for c in batch.columns[: len(kept)]],
                     pa.ListArray.from_arrays([0, len(batch)], pa.array(sizes)),
+                    pa.array([number], pa.int64()),
                     *[
                         pa.array([b], pa.binary())
                         for b in (
@@ -94,6 +102,7 @@ def build_index(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
                         )
                     ],
                 ]
+                number += 1
                 yield pa.RecordBatch.from_arrays(row, names=[f.name for f in schema.fields])
 
     rows = docs.select(*keys, F.col(text).alias("text"))
@@ -216,8 +225,11 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 HIT = "array<struct<start:int,end:int>>"
 
 
-def search_block(index: DataFrame, keys: Sequence[str], block: Block, slop: int | None) -> DataFrame:
-    """``keys``, ``n_words``, ``hits``, ``items`` and ``near`` of every document of ``index``."""
+def search_block(
+    index: DataFrame, keys: Sequence[str], block: Block, slop: int | None
+) -> tuple[DataFrame, Broadcast]:
+    """``keys``, ``n_words``, ``hits``, ``items``, ``near``, ``segment`` and ``place`` of every document
+    of ``index``, and the broadcast that it reads."""
     kept = [index.schema[k] for k in keys]
     hit = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     schema = StructType(
@@ -227,6 +239,8 @@ def search_block(index: DataFrame, keys: Sequence[str], block: Block, slop: int
             StructField("hits", ArrayType(hit)),
             StructField("items", ArrayType(StringType())),
             StructField("near", ArrayType(StringType())),
+            StructField("segment", LongType()),
+            StructField("place", IntegerType()),
         ]
     )
     shared = index.sparkSession.sparkContext.broadcast(block)
@@ -235,12 +249,12 @@ def search_block(index: DataFrame, keys: Sequence[str], block: Block, slop: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(kept) + 1 :]]
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(kept) + 1 : -2]]
         tests = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
                 n_words = batch.column(len(kept))[k].values.to_numpy()
-                segment = Segment(n_words, *[batch.column(len(kept) + 1 + j)[k].as_py() for j in range(4)])
+                segment = Segment(n_words, *[batch.column(len(kept) + 2 + j)[k].as_py() for j in range(4)])
                 n = len(n_words)
                 items: list[dict[str, None]] = [{} for _ in range(n)]
                 close: list[dict[str, None]] = [{} for _ in range(n)]
@@ -271,10 +285,12 @@ def search_block(index: DataFrame, keys: Sequence[str], block: Block, slop: int
                     pa.array(n_words),
                     pa.array(hits, kinds[0]),
                     *[pa.array([list(i) for i in ids], t) for ids, t in zip((items, close), kinds[1:])],
+                    pa.array(np.full(n, batch.column(len(kept) + 1)[k].as_py(), dtype=np.int64)),
+                    pa.array(np.arange(n, dtype=np.int32)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(run, schema), shared
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -318,42 +334,46 @@ def search(
     Returns ``keys``, ``n_words``, ``hits`` (spans of words inside a phrase, end exclusive),
     ``items`` (ids, as strings, of items with a phrase there) and ``near`` (those with a window
     whose words stand close together in any order; empty where ``slop`` is None). Items without
-    words match nothing; items without an id mark words but are not named. With several blocks of
-    items, spans of one document are put together by its place in the index.
+    words match nothing; items without an id mark words but are not named. Repeated and null ``keys``
+    are documents of their own. The items go through the driver in blocks of ``block_bytes``, one at
+    a time; with several of them, a document's spans are put together by its place in the index.
     """
     if window + (slop or 0) >= GAP:
         raise ValueError(f"a window with its slop must be shorter than {GAP} words")
     rows = items.select(F.col(item).cast("string"), F.col(text))
-    found = [
-        search_block(index, keys, compile_block(block, window), slop)
-        for block in _blocks(rows, block_bytes)
-    ]
-    if not found:
-        found = [search_block(index, keys, compile_block([], window), slop)]
-    if len(found) == 1:
-        return found[0]
-    # The same document has the same keys and text in every pass; equal ones have equal matches.
-    every = found[0]
-    for one in found[1:]:
+    blocks = _blocks(rows, block_bytes)
+    block, more = next(blocks, []), next(blocks, None)
+    found, shared = search_block(index, keys, compile_block(block, window), slop)
+    result = [*keys, "n_words", "hits", "items", "near"]
+    if more is None:
+        return found.select(result)
+    # one block at a time; of all but the first only documents with a match
+    passes = []
+    while True:
+        passes.append(stored(found, "found"))
+        shared.unpersist()
+        if more is None:
+            break
+        found, shared = search_block(index, keys, compile_block(more, window), slop)
+        found = found.where((F.size("items") > 0) | (F.size("near") > 0) | (F.size("hits") > 0))
+        more = next(blocks, None)
+    every = passes[0]
+    for one in passes[1:]:
         every = every.unionByName(one)
     joined = lambda name: F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
-    copies = len(found)
-    merged = every.groupBy(*keys, "n_words").agg(
-        (F.count(F.lit(1)) / copies).cast("int").alias("_copies"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        joined("items"),
-        joined("near"),
+    merged = every.groupBy("segment", "place").agg(
+        F.first(F.struct(*keys, "n_words")).alias("document"), joined("hits"), joined("items"), joined("near")
     )
-    return merged.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copies", "col")
+    return merged.select("document.*", "hits", "items", "near")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """``docs`` without those that hold a window of an item.
 
     Documents are told apart by a digest of their text alone, so null and repeated ids are no
-    matter; equal texts go or stay together. Null and empty texts stay.
+    matter; equal texts go or stay together. Null and empty texts stay, an empty table stays empty.
     """
-    key = "_text_key"
+    (key,) = free_names(docs.columns, 1, "text")
     keyed = docs.withColumn(key, F.sha2(F.col(text), 256))
     index = stored(build_index(keyed, [key], text), "index")
     hit = search(index, items, [key], window=window).where(F.size("hits") > 0)
