@@ -3,16 +3,18 @@
 All n-grams stand in one global order, that of a 64-bit hash. The order is cut into fragments, and a
 document's set falls into segments, one for each fragment. Fragments serve twice:
 
-* Two sets that link differ in at most H n-grams. Cut into more than H fragments, they have a segment
-  in common. So equal segments are the candidates, and since a segment holds about ten n-grams,
-  hardly anything else shares one.
+* Two sets that link differ in at most H n-grams. Cut into more than H fragments, they have segments
+  in common, and a set knows how many it must share with any partner. So equal segments are the
+  candidates, and sets that share too few of theirs drop out.
 * For candidates the overlap is counted fragment by fragment, apart from each other, and the partial
   counts are summed per pair.
 
 Only links that join components matter. Equal sets are one node. In each segment's group the node
-with the most company is compared with all others. What that leaves apart is cut into finer
-fragments, of which only a few rare ones need to be looked at, and compared with whatever of other
-components stands in the same group, so pairs inside a component are never made.
+with the most company, the hub, is compared with all others. What that leaves apart differs from the
+hub in more n-grams than a link allows. Two such sets differ from each other where just one of them
+differs from the hub, so linked ones have more than half of their differences from the hub in common,
+and one of the first few. Random changes of one text have hardly any in common, so a group of many
+copies that don't link makes few candidates.
 """
 
 from __future__ import annotations
@@ -28,27 +30,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     BinaryType,
+    IntegerType,
     LongType,
     StructField,
     StructType,
 )
 
 from hushlog.functions.checkpoints import forget, stored
-from hushlog.llm.arrow import pieces, without
+from hushlog.llm.arrow import free_names, pieces, without
 
 #: Fragments above the least number: so many empty ones a set may have without further ado.
 SLACK = 2
 #: Sizes in one class differ by at most this factor (and never by less than one).
 CLASS_RATIO = 1.5
+#: Words of 64 bits by which pairs are told apart before their overlap is counted.
+SKETCH = 8
 #: Fragments of the counting step.
 COUNTED = 8
+#: How often sets that share too few keys are taken out, before and after the hubs' links.
+FILTERED = 2
 #: Up to so many candidate texts (16 bytes each) are found by a broadcast, more by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
-#: Fragments for each possible difference where sets are looked at closely.
-FINER = 4
-NO_LIMIT = 1 << 40
-
 M1, M2, M3 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -111,30 +114,44 @@ def signatures(gram: np.ndarray, text: np.ndarray, n: np.ndarray) -> list[bytes]
     return [row.tobytes() for row in out]
 
 
+def sketches(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words for each set: the parity of the n-grams that fall on each bit.
+
+    Where two sketches differ the sets differ, too, so they have as many differences at least.
+    """
+    out = np.zeros((len(n), SKETCH), dtype=np.int64)
+    filled = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[filled]
+    bit = np.uint64(1) << (gram & np.uint64(63))
+    word = (gram >> np.uint64(6)) % np.uint64(SKETCH)
+    for k in range(SKETCH if len(filled) else 0):
+        held = np.where(word == k, bit, np.uint64(0))
+        out[filled, k] = np.bitwise_xor.reduceat(held, starts).view(np.int64)
+    return out
+
+
 def segment_keys(
-    gram: np.ndarray, text: np.ndarray, n: np.ndarray, per_cent: int, finer: int = 1
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that linked sets share at least one of, the text of each, its limit and its fragment.
+    gram: np.ndarray, text: np.ndarray, n: np.ndarray, per_cent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that linked sets share, the text of each, and how many each text must share at least.
 
     A scheme belongs to a class of sizes. Each set takes that of its own class, and the next one's
-    where a partner may be that large. A set with too many empty fragments in a scheme adds the
-    least n-grams of its order, as many as two such sets need to meet.
-
-    There are ``finer`` times as many fragments as a pair can have differences. Whatever the order
-    of all keys, linked sets also share one of the first ``limit`` of each: at most so many
-    fragments less one can differ. A set with too many empty fragments has no limit. Limits of the
-    second scheme are negative, so that its keys are told apart. Single n-grams have fragment -1.
+    where a partner may be that large; of the two, the last bit of a key tells which (odd or even).
+    A set shares all its fragments with a linked one but for as many as they have differences. A set with too many empty
+    fragments in a scheme adds the least n-grams of its order, as many as two such sets need to meet,
+    and must share one key.
     """
     starts = class_starts()
     own = np.searchsorted(starts, n, "right") - 1
     most = n * 100 // per_cent
-    found_key, found_text, found_limit, found_fragment = [], [], [], []
+    found_key, found_text = [], []
+    needed = np.ones((len(n), 2), dtype=np.int32)
     for step in (0, 1):
         scheme = own + step
         upper = starts[scheme + 1] - 1
         apart = most_apart(n + np.minimum(most, upper), per_cent)
         takes = (n > 0) & (apart > 0) & (most >= starts[scheme])
-        cuts = (finer * most_apart(2 * upper, per_cent) + 1 + SLACK).astype(np.uint64)
+        cuts = (most_apart(2 * upper, per_cent) + 1 + SLACK).astype(np.uint64)
         chosen = takes[text]
         g, t = gram[chosen], text[chosen]
         if not len(g):
@@ -143,27 +160,22 @@ def segment_keys(
         first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (fragment[1:] != fragment[:-1])))
         key = np.add.reduceat(mixed(g, M2), first)
         tag = (scheme[t[first]].astype(np.uint64) << np.uint64(40)) + fragment[first]
-        found_key.append(mixed(key ^ mixed(tag, M1), M3))
-        found_text.append(t[first])
+        keys, texts = [mixed(key ^ mixed(tag, M1), M3)], [t[first]]
         full = np.bincount(t[first], minlength=len(n))
         odd = takes & (full <= apart)
-        limit = np.where(odd, NO_LIMIT, apart + 1) * (1 - 2 * step)
-        found_limit.append(limit[t[first]])
-        found_fragment.append(fragment[first].astype(np.int64))
+        needed[np.arange(len(n)), scheme & 1] = np.where(odd, 1, np.maximum(full - apart, 1))
         if odd.any():
             prefix = n - -(-n * per_cent // 100) + 1
             begin = np.cumsum(n) - n
             near = odd[text] & (np.arange(len(gram)) - begin[text] < prefix[text])
             tag = scheme[text[near]].astype(np.uint64) << np.uint64(40)
-            found_key.append(mixed(gram[near] ^ mixed(tag, M2), M1))
-            found_text.append(text[near])
-            found_limit.append(limit[text[near]])
-            found_fragment.append(np.full(int(near.sum()), -1))
-    empty = [np.zeros(0, dtype=np.int64)]
-    return (
-        np.concatenate([np.zeros(0, dtype=np.uint64), *found_key]),
-        *(np.concatenate(empty + found) for found in (found_text, found_limit, found_fragment)),
-    )
+            keys.append(mixed(gram[near] ^ mixed(tag, M2), M1))
+            texts.append(text[near])
+        for key, of in zip(keys, texts):
+            found_key.append(key & ~np.uint64(1) | (scheme[of] & 1).astype(np.uint64))
+            found_text.append(of)
+    empty = np.zeros(0, dtype=np.int64)
+    return np.concatenate([empty.astype(np.uint64), *found_key]), np.concatenate([empty, *found_text]), needed
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -173,7 +185,8 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def _with_sets(docs: DataFrame, keep: list[str], width: int, per_cent: int, text: str) -> DataFrame:
-    """``keep``, a hash of the text, signature, size and segment keys of each document."""
+    """``keep``, a hash of the text, signature, size, segment keys, how many of them must be shared, and
+    sketch."""
     rows = docs.select(*keep, F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
     schema = StructType(
         [
@@ -181,6 +194,9 @@ def _with_sets(docs: DataFrame, keep: list[str], width: int, per_cent: int, text
             StructField("_sig", BinaryType()),
             StructField("_n", LongType()),
             StructField("_keys", ArrayType(LongType())),
+            StructField("_need0", IntegerType()),
+            StructField("_need1", IntegerType()),
+            StructField("_sketch", ArrayType(LongType())),
         ]
     )
 
@@ -188,12 +204,15 @@ def _with_sets(docs: DataFrame, keep: list[str], width: int, per_cent: int, text
         for whole in batches:
             for batch in pieces(whole, "text"):
                 gram, owner, n = shingle_sets(batch.column(len(keep) + 1).to_pylist(), width)
-                key, key_owner, _, _ = segment_keys(gram, owner, n, per_cent)
+                key, key_owner, needed = segment_keys(gram, owner, n, per_cent)
                 columns = [
                     *batch.columns[:-1],
                     pa.array(signatures(gram, owner, n), pa.binary()),
                     pa.array(n),
                     _lists(key, key_owner, len(n)),
+                    pa.array(needed[:, 0]),
+                    pa.array(needed[:, 1]),
+                    pa.FixedSizeListArray.from_arrays(sketches(gram, n).reshape(-1), SKETCH).cast(pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -221,23 +240,17 @@ def _parts(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, schema)
 
 
-def _fine_keys(rows: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Signature, keys and limits of a finer partition, for texts of ``rows``."""
-    schema = "_sig binary, keys array<long>, limits array<long>, fragments array<long>"
+def _grams(rows: DataFrame, width: int) -> DataFrame:
+    """Signature and n-grams in their order, for texts of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 gram, owner, n = shingle_sets(batch.column(0).to_pylist(), width)
-                key, key_owner, *more = segment_keys(gram, owner, n, per_cent, FINER)
-                columns = [
-                    pa.array(signatures(gram, owner, n), pa.binary()),
-                    _lists(key, key_owner, len(n)),
-                    *[_lists(values, key_owner, len(n)) for values in more],
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["_sig", "keys", "limits", "fragments"])
+                columns = [pa.array(signatures(gram, owner, n), pa.binary()), _lists(gram, owner, len(n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_sig", "grams"])
 
-    return rows.select("text").mapInArrow(run, schema)
+    return rows.select("text").mapInArrow(run, "_sig binary, grams array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,46 +330,85 @@ class _Linker:
         forget(wanted)
         return linked
 
-    def close_groups(self, nodes: DataFrame) -> DataFrame:
-        """``key``, the columns of ``nodes``, ``own`` and ``bound``: linked ones share a key that is
-        rare among them.
-
-        Each set keeps its rarest keys of a finer partition up to its limit. Sets with more
-        differences from all others than a link allows have that many keys of their own and drop out.
-        ``own`` holds the fragments where a set is like no other. Two sets differ in the fragments
-        that either of them owns, so linked ones own less than the ``bound`` of both together.
-        """
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, na, nb) less those that differ too much by their sketches."""
+        one = self.nodes.select(F.col("node").alias("a"), F.col("_sketch").alias("sa"))
+        other = self.nodes.select(F.col("node").alias("b"), F.col("_sketch").alias("sb"))
+        apart = sum(F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH))
+        most = (100 - self.per_cent) * (F.col("na") + F.col("nb"))
+        near = pairs.join(one, "a").join(other, "b").where((100 + self.per_cent) * apart <= most)
+        return near.select("a", "b", "na", "nb")
+
+    def grams(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``grams`` of some ``nodes``."""
         wanted, texts = self._wanted(nodes)
-        fine = _fine_keys(texts, self.width, self.per_cent).groupBy("_sig").agg(
-            F.first(F.struct("keys", "limits", "fragments")).alias("fine")
-        )
-        rows = wanted.drop("_text").join(fine, "_sig").drop("_sig")
-        rows = rows.withColumn("each", F.explode(F.arrays_zip("fine.keys", "fine.limits", "fine.fragments")))
-        found = [F.col(f"each.{name}s").alias(name) for name in ("key", "limit", "fragment")]
-        rows = stored(rows.select("*", *found).drop("fine", "each"), "fine")
+        found = _grams(texts, self.width).groupBy("_sig").agg(F.first("grams").alias("grams"))
+        held = stored(found.join(wanted.select("node", "_sig"), "_sig").select("node", "grams"), "grams")
         forget(wanted)
-        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        # keys of one set only come first; of those only the number matters
-        shared = rows.join(often, "key")
-        alone = rows.join(often, "key", "left_anti").groupBy("node", "limit").agg(
-            F.count(F.lit(1)).alias("alone"),
-            F.collect_list(F.when(F.col("fragment") >= 0, F.col("fragment"))).alias("own"),
-        )
-        rank = F.row_number().over(Window.partitionBy("node", "limit").orderBy("c", "key"))
-        ranked = shared.withColumn("place", rank).join(alone, ["node", "limit"], "left")
-        kept = ranked.where(F.col("place") + F.coalesce("alone", F.lit(0)) <= F.abs("limit"))
-        kept = kept.withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
-        kept = kept.withColumn("bound", F.abs("limit"))
-        groups = stored(kept.drop("c", "place", "alone", "limit", "fragment"), "groups")
-        forget(rows)
-        return groups
+        return held
+
+
+def _enough(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """Rows of nodes that share as many keys of a scheme as they must, in keys with company."""
+    # of a node's two schemes, one has odd keys
+    step = F.col("key").bitwiseAND(F.lit(1))
+    counts = shared.groupBy("node").agg(F.count_if(step == 0).alias("c0"), F.count_if(step == 1).alias("c1"))
+    good = [F.when(F.col(f"c{i}") >= F.col(f"_need{i}"), i) for i in (0, 1)]
+    left = counts.join(needs, "node").select("node", F.explode(F.array_compact(F.array(*good))).alias("step"))
+    rows = shared.withColumn("step", step.cast("int")).join(left, ["node", "step"], "left_semi").drop("step")
+    company = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return rows.join(company, "key", "left_semi")
+
+
+def _near_each_other(open_: DataFrame, grams: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (x, y) of different roots that may link; ``open_``: hub, ``node``, ``_n`` and ``root``.
+
+    ``apart`` holds a node's differences from the hub in one order, what the hub lacks first. Of two
+    linked nodes with p and q differences and H between them at most, (p + q - H) / 2 are the same
+    ones. So a common one stands among the first p and q less that, and that of the node with fewer
+    differences among the first H / 2 + 1.
+    """
+    rows = open_.join(grams.withColumnRenamed("grams", "gx"), "node")
+    hubs = grams.select(F.col("node").alias("hub"), F.col("grams").alias("gc"))
+    limit = lambda total: F.floor((100 - per_cent) * total / (100 + per_cent))
+    largest = F.floor(F.col("_n") * 100 / per_cent)
+    rows = rows.join(hubs, "hub").withColumns(
+        {
+            "apart": F.concat(F.array_except("gx", "gc"), F.array_except("gc", "gx")),
+            "most": limit(F.col("_n") + largest).cast("int"),
+        }
+    )
+    first = F.slice("apart", F.lit(1), F.col("most") + 1)
+    rows = rows.select("hub", "node", "_n", "root", "most", F.size("apart").alias("d"), F.posexplode(first).alias("place", "gram"))
+    rows = stored(rows, "apart")
+    common = rows.groupBy("hub", "gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = rows.join(common.where("low <> high").select("hub", "gram"), ["hub", "gram"], "left_semi")
+    side = lambda mark: [F.col(c).alias(c.strip("_") + mark) for c in ("node", "_n", "root", "d", "place")]
+    few = rows.where(2 * F.col("place") <= F.col("most")).select("hub", "gram", *side("x"))
+    many = rows.select("hub", "gram", *side("y"))
+    between = limit(F.col("nx") + F.col("ny"))
+    same = F.ceil((F.col("dx") + F.col("dy") - between) / 2)
+    fits = (
+        (F.col("rootx") != F.col("rooty"))
+        & ((F.col("dx") < F.col("dy")) | (F.col("dx") == F.col("dy")) & (F.col("nodex") < F.col("nodey")))
+        & (100 * F.least("nx", "ny") >= per_cent * F.greatest("nx", "ny"))
+        & (F.col("placex") <= F.col("dx") - same)
+        & (F.col("placey") <= F.col("dy") - same)
+    )
+    swap = F.col("nodex") > F.col("nodey")
+    pairs = few.join(many, ["hub", "gram"]).where(fits).select(
+        F.least("nodex", "nodey").alias("a"),
+        F.greatest("nodex", "nodey").alias("b"),
+        F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
+        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"),
+    )
+    return pairs.distinct()
 
 
 def _open_groups(placed: DataFrame) -> DataFrame:
-    """Rows of groups (``key``) with several ``root``s, and ``top``, the root with the most rows."""
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    return placed.join(largest.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
+    """Rows of groups (``key``) with several ``root``s."""
+    roots = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(roots.where("low <> high").select("key"), "key", "left_semi")
 
 
 def similar_sets(
@@ -371,53 +423,54 @@ def similar_sets(
     a null ``key`` never names a component: where a whole component has none, its id is null.
     Repeated rows come out repeatedly. Runs jobs; an empty table gives an empty one.
     """
-    sets = stored(_with_sets(docs, [key], width, per_cent, text), "sets")
-    filled = sets.where("_n > 0")
-    nodes = filled.groupBy("_sig", "_n").agg(
-        F.min(key).alias("_first"), F.first("_text").alias("_text"), F.first("_keys").alias("_keys")
+    every = _with_sets(docs, [key], width, per_cent, text).withColumn("_id", F.monotonically_increasing_id())
+    sets = stored(every, "sets")
+    nodes = stored(
+        sets.where("_n > 0").groupBy("_sig", "_n").agg(
+            F.min(key).alias("_first"), F.min_by(F.struct("_text", "_need0", "_need1", "_sketch"), "_id").alias("_one"), F.min("_id").alias("node")
+        ).select("node", "_sig", "_n", "_first", "_one.*"),
+        "nodes",
     )
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     linker = _Linker(docs, nodes, width, per_cent, text)
-    rows = nodes.select("node", "_n", F.explode("_keys").alias("key"))
+    needs = nodes.select("node", "_need0", "_need1")
+    rows = sets.select(F.col("_id").alias("node"), "_keys").join(nodes.select("node"), "node", "left_semi")
+    rows = rows.select("node", F.explode("_keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = stored(rows.join(counts, "key"), "shared")
-    company = shared.groupBy("node").agg(F.sum("c").alias("score"))
-    scored = stored(shared.drop("c").join(company, "node"), "scored")
+    shared = stored(rows.join(counts.select("key"), "key", "left_semi"), "shared")
+    for _ in range(FILTERED):
+        before, shared = shared, stored(_enough(shared, needs), "shared")
+        forget(before)
+    crowd = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    company = crowd.groupBy("node").agg(F.sum("c").alias("score"))
+    scored = stored(shared.join(company, "node").join(nodes.select("node", "_n"), "node"), "scored")
     forget(shared)
-    best = scored.groupBy("key").agg(F.max(F.struct("score", F.col("node").alias("a"), F.col("_n").alias("na"))).alias("best"))
-    size = lambda x, y: 100 * F.least(x, y) >= per_cent * F.greatest(x, y)
-    star = (
-        scored.join(best.select("key", "best.a", "best.na"), "key")
-        .select("a", F.col("node").alias("b"), "na", F.col("_n").alias("nb"))
-        .where((F.col("a") != F.col("b")) & size(F.col("na"), F.col("nb")))
-        .distinct()
-    )
-    star = stored(star, "star")
+    best = scored.groupBy("key").agg(F.max(F.struct("score", "node", "_n")).alias("best"))
+    best = stored(best.select("key", F.col("best.node").alias("hub"), F.col("best._n").alias("na")), "hubs")
+    size = 100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")
+    star = scored.join(best, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"), "na", F.col("_n").alias("nb"))
+    star = stored(linker.near(star.where((F.col("a") != F.col("b")) & size).distinct()), "star")
     links = linker.links(star)
     roots = components(links)
-    # groups in which several components are left, with a closer look at their sets
+    # groups in which several components are left
     placed = scored.join(roots, "node", "left").select("key", "node", "_n", F.coalesce("root", "node").alias("root"))
-    open_ = _open_groups(stored(placed, "placed")).select("node", "_n", "root").distinct()
-    close = _open_groups(linker.close_groups(open_))
+    placed = stored(_open_groups(placed), "placed")
     forget(scored)
-    names = {"node": "", "_n": "n", "root": "r", "own": "o", "bound": "b"}
-    few, every = (
-        rows.select("key", *[F.col(c).alias(short + side) for c, short in names.items()])
-        for rows, side in ((close.where("root <> top"), "x"), (close, "y"))
-    )
-    near = F.size(F.array_union("ox", "oy")) < F.least("bx", "by")
-    rest = few.join(every, "key").where((F.col("rx") != F.col("ry")) & size(F.col("nx"), F.col("ny")) & near)
-    swap = F.col("x") > F.col("y")
-    rest = rest.select(
-        F.least("x", "y").alias("a"),
-        F.greatest("x", "y").alias("b"),
-        F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
-        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"),
-    ).distinct()
+    for _ in range(FILTERED):
+        before, placed = placed, stored(_open_groups(_enough(placed, needs)), "placed")
+        forget(before)
+    open_ = placed.join(best.select("key", "hub"), "key").where("hub <> node").select("hub", "node", "_n", "root").distinct()
+    open_ = stored(open_, "open")
+    grams = linker.grams(open_.select("node").union(open_.select("hub")).distinct())
+    rest = _near_each_other(open_, grams, per_cent)
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = stored(linker.near(rest.join(tested, ["a", "b"], "left_anti")), "rest")
+    for table in (star, best, placed, open_, grams):
+        forget(table)
     more = linker.links(rest)
-    roots = components(links.union(more))
+    forget(rest)
+    if more.limit(1).count():
+        forget(roots)
+        roots = components(links.union(more))
     ids = nodes.select("node", "_sig", "_first").join(roots, "node", "left")
     ids = ids.withColumn("root", F.coalesce("root", "node"))
     names = ids.groupBy("root").agg(F.min("_first").alias("component_id"))
@@ -436,7 +489,7 @@ def one_of_each(docs: DataFrame, width: int = 5, per_cent: int = 80, key: str =
     Texts without words all stay. Where a component has no ``key`` at all, or its least one stands
     on several rows, one of these rows stays, that with the least text hash.
     """
-    number = "_row"
+    (number,) = free_names(docs.columns, 1, "row")
     held = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     found = similar_sets(held, width, per_cent, number, text)
     members = held.select(number, key).join(found, number).where("n_shingles > 0")
