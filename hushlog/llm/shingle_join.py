@@ -380,7 +380,7 @@ def _near_each_other(open_: DataFrame, grams: DataFrame, per_cent: int) -> DataF
     )
     first = F.slice("apart", F.lit(1), F.col("most") + 1)
     rows = rows.select("hub", "node", "_n", "root", "most", F.size("apart").alias("d"), F.posexplode(first).alias("place", "gram"))
-    rows = stored(rows, "apart")
+    held = rows = stored(rows, "apart")
     common = rows.groupBy("hub", "gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     rows = rows.join(common.where("low <> high").select("hub", "gram"), ["hub", "gram"], "left_semi")
     side = lambda mark: [F.col(c).alias(c.strip("_") + mark) for c in ("node", "_n", "root", "d", "place")]
@@ -396,13 +396,16 @@ def _near_each_other(open_: DataFrame, grams: DataFrame, per_cent: int) -> DataF
         & (F.col("placey") <= F.col("dy") - same)
     )
     swap = F.col("nodex") > F.col("nodey")
-    pairs = few.join(many, ["hub", "gram"]).where(fits).select(
+    pairs = few.join(many, ["hub", "gram"]).where(fits)
+    found = pairs.select(
         F.least("nodex", "nodey").alias("a"),
         F.greatest("nodex", "nodey").alias("b"),
         F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
         F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"),
     )
-    return pairs.distinct()
+    found = stored(found.distinct(), "found")
+    forget(held)
+    return found
 
 
 def _open_groups(placed: DataFrame) -> DataFrame:
@@ -433,10 +436,16 @@ def similar_sets(
     )
     linker = _Linker(docs, nodes, width, per_cent, text)
     needs = nodes.select("node", "_need0", "_need1")
-    rows = sets.select(F.col("_id").alias("node"), "_keys").join(nodes.select("node"), "node", "left_semi")
-    rows = rows.select("node", F.explode("_keys").alias("key"))
+    rows = sets.where("_n > 0").select(F.col("_id").alias("node"), "_keys")
+    copies = stored(rows.select("node").join(nodes.select("node"), "node", "left_anti"), "copies")
+    others = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies  # counted just now
+    rows = rows.join(others, "node", "left_anti").select("node", F.explode("_keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = stored(rows.join(counts.select("key"), "key", "left_semi"), "shared")
+    # the keys are the larger part of the table
+    before, sets = sets, stored(sets.select(key, "_sig", "_n"), "sizes")
+    for table in (before, copies):
+        forget(table)
     for _ in range(FILTERED):
         before, shared = shared, stored(_enough(shared, needs), "shared")
         forget(before)
@@ -461,10 +470,10 @@ def similar_sets(
     open_ = placed.join(best.select("key", "hub"), "key").where("hub <> node").select("hub", "node", "_n", "root").distinct()
     open_ = stored(open_, "open")
     grams = linker.grams(open_.select("node").union(open_.select("hub")).distinct())
-    rest = _near_each_other(open_, grams, per_cent)
+    near = _near_each_other(open_, grams, per_cent)
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(linker.near(rest.join(tested, ["a", "b"], "left_anti")), "rest")
-    for table in (star, best, placed, open_, grams):
+    rest = stored(linker.near(near.join(tested, ["a", "b"], "left_anti")), "rest")
+    for table in (star, best, placed, open_, grams, near):
         forget(table)
     more = linker.links(rest)
     forget(rest)
