@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from hushlog.functions import text
 from hushlog.functions.classify import is_trace_message
 from hushlog.options import Options
-from hushlog.operators.traces import clean_traces
+from hushlog.operators.traces import cleaned
 from hushlog.schemas import CONSOLE, KEY
 
 # Rows of one run: consecutive suppressed rows of one burst.
@@ -249,13 +249,14 @@ def with_notice(df: DataFrame, opts: Options = Options()) -> DataFrame:
         text.shorten(F.col("message"), NOTICE_CHARS),
         suffix,
     )
+    message = F.when(is_trace_message(F.col("message")), cleaned(F.col("message"), opts)).otherwise(F.col("message"))
     silent = F.coalesce(F.col("logger").startswith(CONSOLE_LOGGER_PREFIX), F.lit(False))
     shown = (
         F.when(~F.col("report"), None)
-        .when(is_console, F.concat(F.coalesce("shown", F.lit("")), suffix))
+        .when(is_console, F.concat(F.coalesce(message, F.lit("")), suffix))
         .when(F.lit(opts.show_notices) & ~silent, own)
     )
-    return _with_clean_message(df, opts).withColumn("text", shown).drop("shown")
+    return df.withColumn("text", shown)
 
 
 def notices(df: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -276,25 +277,3 @@ def notices(df: DataFrame, opts: Options = Options()) -> DataFrame:
             "text",
         )
     )
-
-
-def _with_clean_message(df: DataFrame, opts: Options) -> DataFrame:
-    """Add ``shown``: the message, cleaned if it is a trace on the console that gets a notice.
-
-    Each different text is cleaned once.
-    """
-    if not opts.clean_traces:
-        return df.withColumn("shown", F.col("message"))
-    wanted = F.col("report") & (F.col("kind") == CONSOLE) & is_trace_message(F.col("message"))
-    marked = df.withColumn("trace_id", F.when(wanted, F.col("message")))
-    texts = (
-        marked.filter(F.col("trace_id").isNotNull())
-        .select("trace_id", F.col("trace_id").alias("text"))
-        .distinct()
-    )
-    cleaned = clean_traces(texts, opts).withColumnRenamed("text", "clean_text")
-    return (
-        marked.join(cleaned, "trace_id", "left")
-        .withColumn("shown", F.coalesce("clean_text", "message"))
-        .drop("trace_id", "clean_text")
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlog.functions.text import strip_space
@@ -23,6 +23,12 @@ FRAMEWORK_PACKAGES = (
 )
 
 
+#: From after "at " to the last opening parenthesis; then up to the last dot, twice.
+CALL, OWNER, PACKAGE = "(?s)^at (.*)\\([^(]*\\)$", "(?s)^(.*)\\.[^.]*$", "(?s)^(.+)\\.[^.]*$"
+#: A line break before the cause of what stands before it.
+SEGMENT = "\n(?=[\\x00-\\x09\\x0B-\\x20]*(?:Caused by:|Suppressed:))"
+
+
 def frames(traces: DataFrame, opts: Options = Options()) -> DataFrame:
     """Explode ``(trace_id, text)`` into one row per line, with what becomes of it.
 
@@ -41,11 +47,10 @@ def _line_table(traces: DataFrame, opts: Options) -> DataFrame:
     trimmed = strip_space(F.col("line"))
     called = F.when(
         F.col("trimmed").startswith("at ") & F.col("trimmed").endswith(")"),
-        # from after "at " to the last opening parenthesis
-        F.regexp_extract("trimmed", "(?s)^at (.*)\\([^(]*\\)$", 1),
+        F.regexp_extract("trimmed", CALL, 1),
     )
-    owner = F.regexp_extract("method", "(?s)^(.*)\\.[^.]*$", 1)
-    package = F.regexp_extract(owner, "(?s)^(.+)\\.[^.]*$", 1)
+    owner = F.regexp_extract("method", OWNER, 1)
+    package = F.regexp_extract(owner, PACKAGE, 1)
     parsed = lines.withColumn("trimmed", trimmed).withColumn("called", called)
     kind = (
         F.when(
@@ -106,28 +111,85 @@ def _line_table(traces: DataFrame, opts: Options) -> DataFrame:
     )
 
 
-def clean_traces(traces: DataFrame, opts: Options = Options()) -> DataFrame:
-    """``(trace_id, text)`` with repeated and unwanted frames dropped; one shuffle by trace."""
-    if not opts.clean_traces:
-        return traces.select("trace_id", "text")
-    rows = _line_table(traces, opts)
-    kept_lines = F.collect_list(F.when(F.col("kept"), F.struct("pos", "line")))
-    joined = F.array_join(F.transform(F.array_sort(kept_lines), lambda x: x.line), "\n")
-    rebuilt = rows.groupBy("trace_id").agg(
-        joined.alias("kept_text"),
-        (F.count(F.lit(1)) - F.count_if("kept")).alias("rest"),
-        F.count_if("kept").alias("n_kept"),
-        F.bool_or(F.col("line").isNull()).alias("absent"),
-        F.max(F.when(F.col("ends"), F.regexp_extract("line", "(?s)^(.*?)at", 1))).alias("indent"),
+def _segment(lines: Column, opts: Options) -> Column:
+    """Of the lines of one segment the kept ones, and the line that ends the trace, if there is one."""
+    line = lambda x: F.struct(x.alias("line"), strip_space(x).alias("trimmed"))
+    called = lambda x: F.struct(
+        x["line"].alias("line"),
+        F.when(
+            x["trimmed"].startswith("at ") & x["trimmed"].endswith(")"),
+            F.regexp_extract(x["trimmed"], CALL, 1),
+        ).alias("method"),
     )
-    tail = F.concat("indent", F.lit("... "), F.col("rest").cast("string"), F.lit(" more"))
-    text = (
-        F.when(F.col("absent"), None)
-        .when(F.col("indent").isNull(), F.col("kept_text"))
-        .when(F.col("n_kept") == 0, tail)
-        .otherwise(F.concat("kept_text", F.lit("\n"), tail))
+
+    def unwanted(method: Column) -> Column:
+        package = F.regexp_extract(F.regexp_extract(method, OWNER, 1), PACKAGE, 1)
+        return reduce(lambda a, b: a | b, [package.startswith(p) for p in FRAMEWORK_PACKAGES])
+
+    frame = lambda x: F.coalesce(x["method"].contains("."), F.lit(False))
+    named = lambda x: F.when(frame(x) & ~unwanted(x["method"]), x["method"])
+    if not opts.drop_framework_frames:
+        named = lambda x: F.when(frame(x), x["method"])
+    parsed = F.transform(F.transform(lines, line), called)
+    # what a frame counts as: nothing if it is unwanted
+    rows = F.transform(parsed, lambda x: F.struct(x["line"].alias("line"), frame(x).alias("frame"), named(x).alias("name")))
+    # the first frame of each method, found in the list of all names
+    first = lambda r: F.transform(
+        r,
+        lambda x, i: F.struct(
+            x["line"].alias("line"),
+            F.coalesce(F.array_position(r["name"], x["name"]) == i + 1, F.lit(False)).alias("counts"),
+            x["frame"].alias("frame"),
+            i.alias("pos"),
+        ),
     )
-    return rebuilt.select("trace_id", text.alias("text"))
+    kept = lambda r: F.filter(r, lambda x: x["counts"] | ~x["frame"])
+    if opts.max_depth > 0:
+        end = lambda r: F.get(F.filter(r, lambda x: x["counts"]), F.lit(opts.max_depth))
+        until = lambda r: F.filter(kept(r), lambda x: F.coalesce(x["pos"] < end(r)["pos"], F.lit(True)))
+    else:
+        end = lambda r: F.lit(None).cast("struct<line:string>")
+        until = kept
+    # each step once: the next one reads it as the only element of a list
+    done = F.transform(F.transform(F.array(rows), first), lambda r: F.struct(until(r)["line"].alias("kept"), end(r)["line"].alias("end")))
+    return F.get(done, F.lit(0))
+
+
+def cleaned(text: Column, opts: Options = Options()) -> Column:
+    """``text`` of a trace with repeated and unwanted frames dropped, as one expression of its row.
+
+    It needs no shuffle, so it works on streams as well. Null stays null.
+    """
+    if not opts.clean_traces:
+        return text
+    body = F.regexp_replace(text, "\n+\\z", "")
+    parts = F.transform(F.split(body, SEGMENT, -1), lambda s: _segment(F.split(s, "\n", -1), opts))
+    if opts.max_depth <= 0:
+        return F.array_join(F.flatten(parts["kept"]), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(None).cast("string").alias("end"))
+
+    def joined(state: Column, part: Column) -> Column:
+        whole = F.struct(F.concat(state["kept"], part["kept"]).alias("kept"), part["end"].alias("end"))
+        return F.when(state["end"].isNull(), whole).otherwise(state)
+
+    n_lines = F.size(F.split(body, "\n", -1))
+
+    def finish(state: Column) -> Column:
+        tail = F.concat(
+            F.regexp_extract(state["end"], "(?s)^(.*?)at", 1),
+            F.lit("... "),
+            (n_lines - F.size(state["kept"])).cast("string"),
+            F.lit(" more"),
+        )
+        lines = F.when(state["end"].isNull(), state["kept"]).otherwise(F.concat(state["kept"], F.array(tail)))
+        return F.array_join(lines, "\n")
+
+    return F.aggregate(parts, start, joined, finish)
+
+
+def clean_traces(traces: DataFrame, opts: Options = Options()) -> DataFrame:
+    """``(trace_id, text)`` with repeated and unwanted frames dropped; row by row."""
+    return traces.select("trace_id", cleaned(F.col("text"), opts).alias("text"))
 
 
 def hot_frames(traces: DataFrame, by: str = "method", opts: Options = Options()) -> DataFrame:
