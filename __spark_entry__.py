@@ -35,6 +35,7 @@ from hushlog.sources.lines import assemble_messages, console_events, lines_of_te
 from hushlog.sources.records import from_numeric_level, from_structured, union_sources
 from hushlog.streaming.assemble import assemble_stream
 from hushlog.streaming.run import new_folder, run_to_end
+from hushlog.streaming.survivors import surviving_stream
 from hushlog.streaming.summary import burst_summary, stream_stats
 from hushlog.streaming.suppress import suppress_stream
 
@@ -46,7 +47,8 @@ TEXT_ONLY = Options(
     normalize_addresses=False,
     normalize_timings=False,
 )
-EXACT = Options(long_text="exact")
+# long texts by their lengths alone, which SQL can follow on whole tables
+BY_LENGTH = TEXT_ONLY.with_(long_text="length_only")
 LINES = PLAIN.with_(block_rows=views.LINE_BLOCK)
 KEYS = ["source", "seq", "logger", "level"]
 
@@ -159,7 +161,7 @@ def chat_top_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_templates(text_template_stats(spark, sf_dir), TEXT_ONLY)
+    return cluster_templates(text_template_stats(spark, sf_dir), BY_LENGTH)
 
 
 def window_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +233,7 @@ def surviving_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surviving_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source, near copies merged, full report rule."""
-    return quiet_log(cut(_all_sources(spark, sf_dir)), EXACT)
+    return quiet_log(cut(_all_sources(spark, sf_dir)), Options())
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,30 +269,34 @@ def suppression_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = views.table(spark, sf_dir, "events").schema
-    # a pattern, since a stream takes a single file only by pattern; matches a folder as well
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return keyed(views.event_messages(stream), PLAIN)
+# the log spans a quarter of an hour: several steps decide, and the watermark moves between them
+SLICES, DELAY = 4, "1 minute"
 
 
-# event times of the table span a quarter of an hour once squeezed
-DELAY = "1 hour"
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream that takes one slice of time in each step."""
+    folder = new_folder(spark, "events") + "/slices"
+    events = views.log_events(spark, sf_dir)
+    views.written_in_slices(events, folder, SLICES)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _event_stream(spark, sf_dir)
-    return run_to_end(spark, rows, lambda s: suppress_stream(s, PLAIN, DELAY), "decisions")
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keyed(_event_stream(spark, sf_dir), PLAIN)
+    decided = run_to_end(spark, rows, lambda s: suppress_stream(s, PLAIN, DELAY), "decisions")
+    return decided.select("seq", "n", "allowed", "report")
 
 
-def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed_decisions(spark, sf_dir).select("seq", "n", "allowed", "report")
+def stream_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving log, full report rule, appended step by step."""
+    rows = _event_stream(spark, sf_dir)
+    return run_to_end(spark, rows, lambda s: surviving_stream(s, PLAIN, DELAY), "survivors")
 
 
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bursts = run_to_end(
         spark,
-        _event_stream(spark, sf_dir),
+        keyed(_event_stream(spark, sf_dir), PLAIN),
         lambda s: burst_summary(s, PLAIN, DELAY),
         "bursts",
     )
@@ -352,6 +358,7 @@ _QUERIES = [
     suppression_by_level,
     suppression_overall,
     stream_decisions,
+    stream_survivors,
     stream_bursts,
     stream_messages,
     stream_totals,

@@ -69,7 +69,7 @@ class Options:
     show_count_after: int = 100
     fuzzy: bool = True
     similarity_threshold: int = 85
-    long_text: str = "length_only"
+    long_text: str = "exact"
     normalize_coordinates: bool = True
     normalize_uuids: bool = True
     normalize_addresses: bool = True

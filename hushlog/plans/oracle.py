@@ -376,3 +376,12 @@ SQL["stream_decisions"] = SQL["full_reports"].replace(
     f"SELECT d.seq, d.n, d.allowed, c.pos IS NOT NULL AS report\nFROM decided d LEFT JOIN chain c ON "
     f"{_SAME_KEY} AND d.pos = c.pos",
 )
+SQL["stream_survivors"] = SQL["full_reports"].replace(
+    "SELECT d.source, d.seq, d.logger, d.level, d.n, d.duration_ms\nFROM chain c JOIN held d ON "
+    f"{_SAME_KEY} AND d.pos = c.pos",
+    f"""SELECT kind, source, seq, event_ms, logger, level, message FROM decided WHERE allowed
+UNION ALL
+SELECT 'structured', source, seq, event_ms, 'hushlog.notices', 'INFO', concat('[', logger, '] ',
+  CASE WHEN length(message) > 100 THEN concat(substr(message, 1, 100), '...') ELSE message END, {_SUFFIX})
+FROM (SELECT d.* FROM chain c JOIN held d ON {_SAME_KEY} AND d.pos = c.pos)""",
+)

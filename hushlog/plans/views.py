@@ -46,6 +46,18 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(table(spark, sf_dir, "events"))
 
 
+def written_in_slices(events: DataFrame, folder: str, n: int) -> None:
+    """Events in ``n`` files or groups of files, one after the other as time goes on."""
+    first, last = events.agg(F.min("event_ms"), F.max("event_ms")).first()
+    if first is None:
+        events.write.mode("append").parquet(folder)
+        return
+    width = (last - first) // n + 1
+    for k in range(n):
+        inside = F.col("event_ms").between(first + k * width, first + (k + 1) * width - 1)
+        events.filter(inside).coalesce(1).write.mode("append").parquet(folder)
+
+
 # Position of a console line: orders and their items share a source; SEQ_STEP leaves room for items
 # with the same number, and a run of LINE_BLOCK positions holds some ten thousand orders.
 SEQ_STEP = 4096

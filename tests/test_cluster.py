@@ -72,7 +72,7 @@ def random_templates(seed, count):
 
 @pytest.mark.parametrize(
     "changes, batch_size",
-    [({}, 1024), ({"similarity_threshold": 70}, 20), ({"long_text": "exact"}, 40)],
+    [({}, 1024), ({"similarity_threshold": 70}, 20), ({"long_text": "length_only"}, 40)],
 )
 def test_equals_first_come_assignment(spark, changes, batch_size):
     opts = Options(**changes)
@@ -90,11 +90,12 @@ def test_chain_and_long_texts(spark):
     rows = [("l", "INFO", a, 1), ("l", "INFO", b, 2), ("l", "INFO", c, 3)]
     rows += [("l", "WARN", "x" * 250, 1), ("l", "WARN", "y" * 250, 2), ("l", "WARN", "z" * 180, 3)]
     stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
-    got = {r.template: r.leader_template for r in cluster_templates(stats).collect()}
+    by_length = Options(long_text="length_only")
+    got = {r.template: r.leader_template for r in cluster_templates(stats, by_length).collect()}
     assert got == {a: a, b: a, c: c, "x" * 250: "x" * 250, "y" * 250: "x" * 250, "z" * 180: "z" * 180}
     exact = {
         r.template: r.leader_template
-        for r in cluster_templates(stats, Options(long_text="exact")).collect()
+        for r in cluster_templates(stats).collect()
     }
     assert exact["y" * 250] == "y" * 250
 

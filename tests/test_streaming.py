@@ -88,3 +88,30 @@ def test_messages_stay_whole_over_long_silence_and_follow_the_options(spark, tmp
         ("s", 1, "\tat a.B(B)", 1),
         ("t", 0, "plain", 1),
     ]
+
+
+def test_surviving_stream_over_several_slices(spark):
+    from hushlog.plans.suppression import quiet_log
+    from hushlog.plans.views import written_in_slices
+    from hushlog.streaming.run import new_folder
+    from hushlog.streaming.survivors import surviving_stream
+
+    trace = "java.io.IOException: x\n\tat a.B.c(B.java:1)\n\tat a.B.c(B.java:2)"
+    rows = []
+    for i in range(400):
+        kind, logger, message = [("structured", "app", f"step {i % 3}"), ("console", "System.err", trace)][i % 2]
+        level = None if i % 50 == 0 else "ERROR"
+        rows.append((kind, "s", i, i * 700, "deny" if i % 31 == 0 else logger, level, message))
+    schema = "kind string, source string, seq long, event_ms long, logger string, level string, message string"
+    events = spark.createDataFrame(rows, schema).withColumn("event_ts", F.timestamp_millis("event_ms"))
+    opts = Options(fuzzy=False, deny_loggers=("deny",), show_count_after=7)
+    folder = new_folder(spark, "slices") + "/rows"
+    written_in_slices(events, folder, 5)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run_to_end(spark, stream, lambda s: surviving_stream(s, opts, "5 seconds"), "survivors")
+    want = quiet_log(events, opts)
+    assert got.columns == want.columns
+    ordered = sorted((tuple(r) for r in want.collect()), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == ordered
+    assert any("suppressed" in r[6] and r[0] == "console" and "B.java:2" not in r[6] for r in ordered)
+    assert any(r[5] is None for r in ordered) and not any(r[4] == "deny" and r[5] for r in ordered)
