@@ -105,8 +105,8 @@ def test_gram_size():
 
 
 def test_rows_take_their_leader(spark, monkeypatch):
-    rows = [("l", "INFO", "Player Steve joined the game", 1), (None, "INFO", "Player Steve joined the gane", 2)]
-    rows += [("l", "INFO", "Player Steve joined the gane", 3), ("l", "INFO", "something else", 4)]
+    rows = [("l", "INFO", "mirror eu-west is behind by a lot", 1), (None, "INFO", "mirror eu-west is behind by a bit", 2)]
+    rows += [("l", "INFO", "mirror eu-west is behind by a bit", 3), ("l", "INFO", "something else", 4)]
     df = spark.createDataFrame(rows, "logger string, level string, message string, event_ms long")
     opts = Options(similarity_threshold=80)
     leaders = cluster_templates(template_stats(with_template(df, opts)), opts)

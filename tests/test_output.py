@@ -119,8 +119,11 @@ def test_switched_off_passes_everything(spark):
 
 
 def test_near_copies_share_a_burst(spark):
-    opts = Options(similarity_threshold=80, info_threshold=3)
-    names = ["Player Steve joined the game"] * 4 + ["Player Steve joined the gane"]
-    df = events(spark, [("structured", "test", "INFO", m) for m in names])
-    assert quiet_log(df, opts).filter("kind = 'structured'").count() == 3
-    assert quiet_log(df, opts.with_(fuzzy=False)).count() == 4
+    opts = Options(similarity_threshold=90, info_threshold=2)
+    pumps = [f"pump {name} runs dry, valve shut" for name in ("alpha", "alpna", "alphq", "omega-nine")]
+    df = events(spark, [("structured", "plant", "INFO", m) for m in pumps * 3])
+    merged = quiet_log(df, opts).filter("kind = 'structured'").groupBy("message").count().collect()
+    # the first pump leads two others; only the last one is a template of its own
+    assert {r.message: r["count"] for r in merged} == {pumps[0]: 1, pumps[1]: 1, pumps[3]: 2}
+    apart = quiet_log(df, opts.with_(fuzzy=False)).groupBy("message").count().collect()
+    assert {r["count"] for r in apart} == {2} and len(apart) == 4
