@@ -34,7 +34,7 @@ from hushlog.plans.suppression import decisions, quiet_log
 from hushlog.sources.lines import assemble_messages, console_events, lines_of_text
 from hushlog.sources.records import from_numeric_level, from_structured, union_sources
 from hushlog.streaming.assemble import assemble_stream
-from hushlog.streaming.run import new_folder, run_to_end
+from hushlog.streaming.run import late_rows, new_folder, run_to_end
 from hushlog.streaming.survivors import surviving_stream
 from hushlog.streaming.summary import burst_summary, stream_stats
 from hushlog.streaming.suppress import suppress_stream
@@ -142,6 +142,20 @@ def routed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_stats(route(_mixed_events(spark, sf_dir), ROUTING), "logger")
 
 
+def list_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by lists that are tables: customers of one segment denied, those with credit allowed."""
+    customers = views.table(spark, sf_dir, "customer").withColumn(
+        "logger", F.concat(F.lit("user."), F.col("c_custkey").cast("string"))
+    )
+    routed = route(
+        views.user_events(spark, sf_dir),
+        PLAIN,
+        deny=customers.filter("c_mktsegment = 'BUILDING'"),
+        allow=customers.filter("c_acctbal > 0"),
+    )
+    return routed.select(*KEYS, "kind", "route")
+
+
 def event_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label(with_template(views.log_events(spark, sf_dir))).select(
         "seq", "template", "label"
@@ -161,7 +175,8 @@ def chat_top_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_templates(text_template_stats(spark, sf_dir), BY_LENGTH)
+    messages = views.text_messages(spark, sf_dir, ascii_only=True)
+    return cluster_templates(template_stats(with_template(messages, TEXT_ONLY)), BY_LENGTH)
 
 
 def window_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +199,14 @@ def event_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def idle_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of keys that are forgotten between two of them."""
+    rows = keyed(views.shift_events(spark, sf_dir), PLAIN)
+    return with_bursts(rows, PLAIN).select(
+        *KEYS, F.col("leader_template").alias("template"), "life_no", "burst_no", "n", "first_ms", "duration_ms"
+    )
+
+
 def event_burst_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_table(_keyed_events(spark, sf_dir), PLAIN).withColumnRenamed(
         "leader_template", "template"
@@ -271,6 +294,8 @@ def suppression_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the log spans a quarter of an hour: several steps decide, and the watermark moves between them
 SLICES, DELAY = 4, "1 minute"
+# a slice for each minute of it
+SHIFTS = 12
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +312,34 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("seq", "n", "allowed", "report")
 
 
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on keys whose state is dropped in one step and born again in a later one."""
+    folder = new_folder(spark, "shifts") + "/slices"
+    events = views.shift_events(spark, sf_dir)
+    views.written_in_slices(events, folder, SHIFTS)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = keyed(stream, PLAIN)
+    decided = run_to_end(spark, rows, lambda s: suppress_stream(s, PLAIN, "10 seconds"), "shifts")
+    return decided.select("seq", "logger", "first_ms", "n", "allowed", "report")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions while a ninth of the first quarter's rows comes after all others, and how many those are."""
+    folder = new_folder(spark, "late") + "/slices"
+    events = views.log_events(spark, sf_dir)
+    first, last = events.agg(F.min("event_ms"), F.max("event_ms")).first()
+    early = F.col("event_ms") < (first or 0) + ((last or 0) - (first or 0)) // 4
+    late = early & (F.col("seq") % 9 == 0)
+    views.written_in_slices(events.filter(~late), folder, SLICES)
+    views.written_in_slices(events.filter(late), folder, 1)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    steps: list[dict] = []
+    decided = run_to_end(
+        spark, keyed(stream, PLAIN), lambda s: suppress_stream(s, PLAIN, DELAY), "late", steps=steps
+    )
+    return decided.select("seq", "n", "allowed", F.lit(late_rows(steps)).cast("long").alias("n_late"))
+
+
 def stream_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving log, full report rule, appended step by step."""
     rows = _event_stream(spark, sf_dir)
@@ -334,6 +387,7 @@ _QUERIES = [
     all_sources,
     routed_events,
     routed_totals,
+    list_routes,
     event_templates,
     event_template_stats,
     text_template_stats,
@@ -342,6 +396,7 @@ _QUERIES = [
     window_classes,
     level_thresholds,
     event_bursts,
+    idle_bursts,
     event_burst_table,
     event_decisions,
     count_reports,
@@ -358,6 +413,8 @@ _QUERIES = [
     suppression_by_level,
     suppression_overall,
     stream_decisions,
+    stream_expiry,
+    stream_late,
     stream_survivors,
     stream_bursts,
     stream_messages,

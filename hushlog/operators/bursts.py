@@ -26,7 +26,9 @@ _CARRY = ["burst_no", "life_no", "first_ms", "life_start_ms", "n_before"]
 def _moment(opts: Options) -> Column:
     # integer arithmetic; pmod keeps times before 1970 in order
     grain = F.lit(opts.grain_ms).cast("long")
-    ms = F.col("event_ms")
+    # rows without a time would all meet in one cell and never be told apart
+    no_time = F.raise_error(F.lit("a log row has no event_ms, bursts need one"))
+    ms = F.coalesce(F.col("event_ms"), no_time.cast("long"))
     return (ms - F.pmod(ms, grain)).alias("moment")
 
 

@@ -40,6 +40,15 @@ routed AS (
       ELSE 'check' END AS route
   FROM mixed)"""
 
+_SHIFTS = """
+shift_log AS (
+  SELECT * REPLACE (concat('shift.', (event_ms // 60000) % 3) AS logger,
+    event_ms - event_ms % 60000 + (event_ms % 60000) // 30 AS event_ms) FROM events_log)"""
+
+_ON_TIME = """
+early AS (SELECT min(event_ms) + (max(event_ms) - min(event_ms)) // 4 AS until_ms FROM events_log),
+on_time AS (SELECT * FROM events_log WHERE NOT (seq % 9 = 0 AND event_ms < (SELECT until_ms FROM early)))"""
+
 _HEX = "[0-9a-f]"
 
 
@@ -194,7 +203,9 @@ text_lines AS (
   SELECT doc_id, source, lang, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM text_parts),
 text_log AS (
   SELECT source AS logger, lang AS level, concat('doc', doc_id) AS source, pos AS seq, doc_id AS event_ms,
-    regexp_replace(line, '[^\\x00-\\x7F]', '?', 'g') AS message FROM text_lines)"""
+    line AS message FROM text_lines)"""
+
+_ASCII_TEXTS = _TEXTS.replace("line AS message", "regexp_replace(line, '[^\\x00-\\x7F]', '?', 'g') AS message")
 
 _TEXT_STATS = """
 text_stats AS (
@@ -259,6 +270,14 @@ GROUP BY kind, logger, level""",
 SELECT logger, count(*) AS n_rows, count(*) FILTER (route = 'check') AS processed,
   count(*) FILTER (route = 'deny') AS denied_by_list
 FROM routed GROUP BY logger""",
+    "list_routes": """
+SELECT source, seq, logger, level, kind, CASE WHEN level IS NULL THEN 'pass'
+    WHEN logger IN (SELECT concat('user.', c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'deny'
+    WHEN logger IN (SELECT concat('user.', c_custkey) FROM customer WHERE c_acctbal > 0) THEN 'check'
+    ELSE 'pass' END AS route
+FROM (SELECT 'structured' AS kind, 'events' AS source, event_id AS seq,
+  CASE WHEN event_id % 11 > 0 THEN concat('user.', user_id) END AS logger,
+  CASE WHEN event_id % 7 > 0 THEN 'INFO' END AS level FROM events) u""",
     "event_templates": f"""{_with(_EVENTS)}
 SELECT seq, {_template('message')} AS template,
   concat('[', level, '/', logger, '] ', {_template('message')}) AS label FROM events_log""",
@@ -271,7 +290,7 @@ FROM events_log GROUP BY ALL""",
 SELECT role AS logger, 'INFO' AS level, text AS template, min(conv_id * 1000 + turn) AS first_ms,
   max(conv_id * 1000 + turn) AS last_ms, count(*) AS n_rows
 FROM conversations GROUP BY role, text ORDER BY n_rows DESC, first_ms, logger, level, template LIMIT 25""",
-    "template_leaders": f"""{_with(_TEXTS, _TEXT_STATS, '''
+    "template_leaders": f"""{_with(_ASCII_TEXTS, _TEXT_STATS, '''
 ranked AS (
   SELECT *, length(template) AS len,
     row_number() OVER (PARTITION BY logger, level ORDER BY first_ms, template) AS pos FROM text_stats),
@@ -303,6 +322,8 @@ SELECT source, seq, CAST({_WINDOW} AS BIGINT) AS window_ms FROM (
     "level_thresholds": f"""{_with(_EVENTS, _MIXED)}
 SELECT seq, level, CAST({_THRESHOLD} AS BIGINT) AS threshold FROM mixed""",
     "event_bursts": f"""{_DECIDED}
+SELECT {_KEY_COLUMNS}, template, life_no, burst_no, n, first_ms, duration_ms FROM decided""",
+    "idle_bursts": f"""{_with(_EVENTS, _SHIFTS, _bursts("shift_log"))}
 SELECT {_KEY_COLUMNS}, template, life_no, burst_no, n, first_ms, duration_ms FROM decided""",
     "event_burst_table": f"""{_DECIDED}
 SELECT logger, level, template, life_no, burst_no, min(event_ms) AS first_ms, max(event_ms) AS last_ms,
@@ -364,6 +385,9 @@ FROM decided""",
 SELECT logger, level, template, min(event_ms) AS first_ms, max(event_ms) AS last_ms, count(*) AS n_rows,
   count(*) FILTER (NOT allowed) AS suppressed
 FROM decided GROUP BY logger, level, template, burst_no""",
+    "stream_late": f"""{_with(_EVENTS, _ON_TIME, _bursts("on_time"))}
+SELECT seq, n, allowed, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM on_time) AS n_late
+FROM decided""",
     "stream_messages": f"{_with(_LINES)} SELECT source, seq, event_ms, message, n_lines FROM messages",
     "stream_totals": f"""{_DECIDED}
 SELECT event_ms - event_ms % 60000 AS slice_ms, level, count(*) AS processed,
@@ -385,3 +409,9 @@ SELECT 'structured', source, seq, event_ms, 'hushlog.notices', 'INFO', concat('[
   CASE WHEN length(message) > 100 THEN concat(substr(message, 1, 100), '...') ELSE message END, {_SUFFIX})
 FROM (SELECT d.* FROM chain c JOIN held d ON {_SAME_KEY} AND d.pos = c.pos)""",
 )
+SQL["stream_expiry"] = (
+    SQL["stream_decisions"]
+    .replace(_EVENTS, f"{_EVENTS},{_SHIFTS}")
+    .replace("FROM events_log),\ngaps", "FROM shift_log),\ngaps")
+    .replace("SELECT d.seq, d.n,", "SELECT d.seq, d.logger, d.first_ms, d.n,")
+)

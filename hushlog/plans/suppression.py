@@ -15,26 +15,41 @@ from hushlog.options import Options
 
 
 def decisions(
-    events: DataFrame, opts: Options = Options(), leaders: DataFrame | None = None
+    events: DataFrame,
+    opts: Options = Options(),
+    leaders: DataFrame | None = None,
+    deny: DataFrame | None = None,
+    allow: DataFrame | None = None,
 ) -> DataFrame:
     """Checked rows of a log with their place in a burst, ``allowed`` and ``report``."""
-    keys = keyed(checked(route(events, opts)), opts, leaders)
+    keys = keyed(checked(route(events, opts, deny, allow)), opts, leaders)
     return mark_reports(decide(with_bursts(keys, opts), opts), opts)
 
 
-def leaders_of(events: DataFrame, opts: Options = Options()) -> DataFrame | None:
+def leaders_of(
+    events: DataFrame,
+    opts: Options = Options(),
+    deny: DataFrame | None = None,
+    allow: DataFrame | None = None,
+) -> DataFrame | None:
     """Leader table of a log's templates; None when near copies are not merged."""
     if not opts.fuzzy:
         return None
-    return cluster_templates(template_stats(with_template(checked(route(events, opts)), opts)), opts)
+    rows = checked(route(events, opts, deny, allow))
+    return cluster_templates(template_stats(with_template(rows, opts)), opts)
 
 
-def quiet_log(events: DataFrame, opts: Options = Options()) -> DataFrame:
+def quiet_log(
+    events: DataFrame,
+    opts: Options = Options(),
+    deny: DataFrame | None = None,
+    allow: DataFrame | None = None,
+) -> DataFrame:
     """The log without its noise: what passes, what is allowed, and count notices.
 
-    Runs the suppression when called and keeps the surviving rows in the shared folder.
+    ``deny`` and ``allow`` are lists of loggers as tables (see ``route``).  Runs the suppression when called and keeps the surviving rows in the shared folder.
     """
-    marked = decisions(events, opts, leaders_of(events, opts))
+    marked = decisions(events, opts, leaders_of(events, opts, deny, allow), deny, allow)
     # what survives is used more than once and is the small part of a noisy log
     kept = cut(marked.filter("allowed OR report"))
-    return deduplicated(kept, route(events, opts), opts)
+    return deduplicated(kept, route(events, opts, deny, allow), opts)

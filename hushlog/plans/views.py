@@ -46,6 +46,29 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(table(spark, sf_dir, "events"))
 
 
+def shift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of services on duty every third minute, for two seconds: in between all keys are idle."""
+    ms = "event_ms - event_ms % 60000 + (event_ms % 60000) div 30"
+    shift = "concat('shift.', CAST((event_ms div 60000) % 3 AS STRING))"
+    return (
+        log_events(spark, sf_dir)
+        .withColumns({"logger": F.expr(shift), "event_ms": F.expr(ms)})
+        .withColumn("event_ts", F.timestamp_millis("event_ms"))
+    )
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with a logger for each user; some rows have no logger or level."""
+    return table(spark, sf_dir, "events").selectExpr(
+        f"'{STRUCTURED}' AS kind",
+        "'events' AS source",
+        "event_id AS seq",
+        "CASE WHEN event_id % 11 > 0 THEN concat('user.', CAST(user_id AS STRING)) END AS logger",
+        "CASE WHEN event_id % 7 > 0 THEN 'INFO' END AS level",
+        "event_type AS message",
+    )
+
+
 def written_in_slices(events: DataFrame, folder: str, n: int) -> None:
     """Events in ``n`` files or groups of files, one after the other as time goes on."""
     first, last = events.agg(F.min("event_ms"), F.max("event_ms")).first()
@@ -97,8 +120,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the documents as log messages; other characters than ASCII become ``?``."""
+def text_messages(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
+    """The lines of the documents as log messages.
+
+    With ``ascii_only`` other characters become ``?``: SQL edit distances count bytes.
+    """
+    message = F.col("text_line")
+    if ascii_only:
+        message = F.regexp_replace(message, "[^\\x00-\\x7F]", "?")
     lines = lines_of_text(
         table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang", name="text_line"
     )
@@ -108,7 +137,7 @@ def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"),
         F.col("pos").cast("long").alias("seq"),
         F.col("doc_id").alias("event_ms"),
-        F.regexp_replace("text_line", "[^\\x00-\\x7F]", "?").alias("message"),
+        message.alias("message"),
     )
 
 

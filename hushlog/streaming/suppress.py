@@ -2,7 +2,9 @@
 
 Rows wait in their key's state until the watermark has passed them and are then taken in
 ``(event_ms, source, seq)`` order, so the result equals the batch plan; latency is the watermark
-delay.  Rows behind the watermark are dropped.  A key idle for ten general gaps is forgotten.
+delay.  Rows behind the watermark are dropped and counted in the progress of the step (``late_rows`` in
+``streaming/run.py``); a stream's first watermark is the start of 1970, so earlier rows are, too.  A key
+idle for ten general gaps is forgotten.
 """
 
 from __future__ import annotations

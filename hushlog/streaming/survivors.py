@@ -17,14 +17,16 @@ def surviving_stream(
     opts: Options = Options(),
     delay: str = "10 seconds",
     leaders: DataFrame | None = None,
+    deny: DataFrame | None = None,
+    allow: DataFrame | None = None,
 ) -> DataFrame:
     """What passes, what is allowed, and count notices, in append mode.
 
     Passed rows come out at once, checked ones when the watermark has passed them. ``leaders`` is the
-    batch job's leader table. Notices and cleaned traces are made row by row, so one stateful step is
+    batch job's leader table, ``deny`` and ``allow`` are lists of loggers as tables. Notices and cleaned traces are made row by row, so one stateful step is
     all there is. A row without a ``kind`` belongs to no log and only moves the watermark on.
     """
-    routed = route(events, opts)
+    routed = route(events, opts, deny, allow)
     mark = F.col("kind").isNull()
     rows = keyed(routed.filter((F.col("route") == CHECK) | mark), opts, leaders)
     return deduplicated(suppress_stream(rows, opts, delay), routed.filter(~mark), opts)
