@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlog.functions.checkpoints import stored
-from hushlog.llm.arrow import without
+from hushlog.llm.arrow import free_names, without
 
 #: Bits of a dimension. Three of them make at most 2**15 cells, whatever the table holds.
 BITS = 5
@@ -34,8 +34,9 @@ def with_curve(cells: DataFrame, dims: Sequence[str], bits: int = BITS, name: st
     """``cells`` with the Hilbert index of the integer columns ``dims``, each below ``2**bits``."""
     n = len(dims)
     keep = cells.columns
-    df = cells.select("*", *[F.col(d).cast("int").alias(f"_x{i}") for i, d in enumerate(dims)])
-    x = [F.col(f"_x{i}") for i in range(n)]
+    *axes, turned = free_names(keep, n + 1, "x")
+    df = cells.select("*", *[F.col(d).cast("int").alias(axis) for d, axis in zip(dims, axes)])
+    x = [F.col(axis) for axis in axes]
     # turn the axes back level by level: flip the first axis, or exchange its low bits with another's
     for level in range(bits - 1, 0, -1):
         low = (1 << level) - 1
@@ -44,15 +45,15 @@ def with_curve(cells: DataFrame, dims: Sequence[str], bits: int = BITS, name: st
             swap = x[0].bitwiseXOR(x[i]).bitwiseAND(low)
             first = x[0].bitwiseXOR(F.when(high, F.lit(low)).otherwise(swap))
             other = F.when(high, x[i]).otherwise(x[i].bitwiseXOR(swap))
-            df = df.withColumns({"_x0": first} if i == 0 else {"_x0": first, f"_x{i}": other})
+            df = df.withColumns({axes[0]: first} if i == 0 else {axes[0]: first, axes[i]: other})
     for i in range(1, n):  # Gray code
-        df = df.withColumn(f"_x{i}", x[i].bitwiseXOR(x[i - 1]))
+        df = df.withColumn(axes[i], x[i].bitwiseXOR(x[i - 1]))
     turn = F.lit(0)
     for level in range(bits - 1, 0, -1):
         bit = x[n - 1].bitwiseAND(1 << level) != 0
         turn = turn.bitwiseXOR(F.when(bit, F.lit((1 << level) - 1)).otherwise(F.lit(0)))
-    df = df.withColumn("_turn", turn)
-    df = df.withColumns({f"_x{i}": x[i].bitwiseXOR(F.col("_turn")) for i in range(n)})
+    df = df.withColumn(turned, turn)
+    df = df.withColumns({axes[i]: x[i].bitwiseXOR(F.col(turned)) for i in range(n)})
     index = F.lit(0).cast("long")
     for level in range(bits - 1, -1, -1):
         for i in range(n):
@@ -78,29 +79,28 @@ def with_shards(
     """
     if len(dims) * bits > 15:
         raise ValueError("the table of cells must stay small: at most 15 bits in all")
-    names = [f"_d{i}" for i in range(len(dims))]
     base = without(rows, ["curve", "shard", "slot"])
+    *names, part, before, place = free_names(base.columns, len(dims) + 3, "d")
     base = base.select("*", *[d.alias(n) for d, n in zip(dims, names)])
     # at most 2**15 rows, by construction
     cells = with_curve(base.select(*names).distinct(), names, bits)
     placed = base.join(F.broadcast(cells), names).drop(*names)
-    dealt = placed.repartitionByRange("curve", *order).withColumn("_part", F.spark_partition_id())
+    dealt = placed.repartitionByRange("curve", *order).withColumn(part, F.spark_partition_id())
     ordered = stored(dealt, "curve")
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    total = parts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("curve", *order)) - 1
+    parts = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside = F.row_number().over(Window.partitionBy(part).orderBy("curve", *order)) - 1
     # one row for each partition of the range sort
-    ranked = ordered.withColumn("_i", inside).join(F.broadcast(offsets), "_part")
-    rank = (F.col("_before") + F.col("_i")).alias("_rank")
-    shard = F.expr(f"CAST(((_rank + 1) * {n_shards} - 1) DIV {max(total, 1)} AS INT)")
+    ranked = ordered.withColumn(place, inside).join(F.broadcast(offsets), part)
+    ranked = ranked.withColumn(place, F.col(before) + F.col(place))
+    shard = F.expr(f"CAST((({place} + 1) * {n_shards} - 1) DIV {max(total, 1)} AS INT)")
     start = F.expr(f"(shard * CAST({total} AS BIGINT)) DIV {n_shards}")
     return (
-        ranked.select("*", rank)
-        .withColumn("shard", shard)
-        .withColumn("slot", F.col("_rank") - start)
-        .drop("_part", "_i", "_before", "_rank")
+        ranked.withColumn("shard", shard)
+        .withColumn("slot", F.col(place) - start)
+        .drop(part, before, place)
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushlog.llm.arrow import without
+from hushlog.llm.arrow import free_names, without
 from hushlog.llm.license_rules import BASE, CERTAINTY, Signature, signatures
 from hushlog.llm.quality_rules import let
 
@@ -150,7 +150,8 @@ def with_licenses(docs: DataFrame, rules: Sequence[Signature] | None = None, tex
 
     ``base`` holds the places of the base phrases, ``licenses`` the detections that no other one
     suppresses, both as label, priority and interval of words. A null text has no words and no
-    detections. Rows and other columns stay; columns of these names are replaced.
+    detections, an empty table gives an empty one. Rows and other columns stay, whatever their names;
+    columns of these names are replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = [Signature(label, 1, phrase, phrase) for label, phrase in BASE]
@@ -164,12 +165,14 @@ def with_licenses(docs: DataFrame, rules: Sequence[Signature] | None = None, tex
     nothing = F.struct(
         F.array().cast(DETECTION).alias("base"), F.array().cast(DETECTION).alias("licenses")
     )
-    df = without(docs, ["n_words", "base", "licenses"]).select(
+    base_rows = without(docs, ["n_words", "base", "licenses"])
+    scan = free_names(base_rows.columns, 1, "scan")[0]
+    df = base_rows.select(
         "*",
         F.size(F.array_remove(F.split(whole, EITHER_CASE_BREAK), "")).cast("long").alias("n_words"),
-        F.when(_gate(whole), scanned).otherwise(nothing).alias("_scan"),
+        F.when(_gate(whole), scanned).otherwise(nothing).alias(scan),
     )
-    return df.select("*", "_scan.base", "_scan.licenses").drop("_scan")
+    return df.select("*", f"{scan}.base", f"{scan}.licenses").drop(scan)
 
 
 def label_list(found: Column) -> Column:

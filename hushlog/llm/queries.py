@@ -82,6 +82,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of one source and language follow each other; a cut between shards may part them,
+    since the law is ``rows``, and other sources or languages lie elsewhere on the curve."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents(spark, sf_dir).select(
         "doc_id",
@@ -91,7 +93,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     )
     dims = [hashed(F.col("source")), hashed(F.col("lang")), scaled(F.col("size"))]
-    sharded = with_shards(rows, dims, ["doc_id", "text_crc32", "size"], n_shards=24)
+    sharded = with_shards(rows, dims, ["text_crc32", "size", "doc_id"], n_shards=24)
     return sharded.select(
         "doc_id",
         "size",

@@ -27,7 +27,7 @@ def test_query_as_sorted_rows(spark):
     assert len(rows) == len(docs)
     own = {d.doc_id: (len(d.text.encode()) + 8, zlib.crc32(d.text.encode())) for d in docs}
     assert all((r["size"], r.text_crc32) == own[r.doc_id] for r in rows)
-    ordered = sorted(rows, key=lambda r: (r.curve, r.doc_id))
+    ordered = sorted(rows, key=lambda r: (r.curve, r.text_crc32, r["size"], r.doc_id))
     n = len(rows)
     cuts = [s * n // 24 for s in range(25)]
     want = [(s, i - cuts[s]) for s in range(24) for i in range(cuts[s], cuts[s + 1])]
