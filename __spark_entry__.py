@@ -294,6 +294,8 @@ def suppression_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the log spans a quarter of an hour: several steps decide, and the watermark moves between them
 SLICES, DELAY = 4, "1 minute"
+# the console lines span seconds to minutes
+LINE_DELAY = "1 second"
 # a slice for each minute of it
 SHIFTS = 12
 
@@ -357,14 +359,13 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "lines")
-    lines = views.raw_lines(spark, sf_dir).withColumn(
-        "event_ts", F.timestamp_millis("event_ms")
-    )
-    lines.write.parquet(folder)
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    """Messages assembled over several steps: groups stay open from one slice of time to the next."""
+    folder = new_folder(spark, "lines") + "/slices"
+    lines = views.raw_lines(spark, sf_dir).withColumn("event_ts", F.timestamp_millis("event_ms"))
+    views.written_in_slices(lines, folder, SLICES)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return run_to_end(
-        spark, stream, lambda s: assemble_stream(s, PLAIN, "30 days"), "messages"
+        spark, stream, lambda s: assemble_stream(s, PLAIN, LINE_DELAY), "messages"
     )
 
 
