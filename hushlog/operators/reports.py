@@ -1,31 +1,24 @@
 """Count notices: which suppressed rows report, and what the notice says.
 
 The count rule alone is a plain column.  With the time rule each report depends on the one before
-it, so the rows of a key form a chain.  The chain is followed in three steps that never give one
-task a whole key: runs of at most ``block_rows`` suppressed rows are followed from every row that
-could be their first report; those few outcomes are chained per key in order; then every run is
-followed once more from its real start.
+it; ``report_chain`` finds them, and they are looked up by the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushlog.functions import text
+from hushlog.functions.checkpoints import stored
 from hushlog.functions.classify import is_trace_message
 from hushlog.options import Options
+from hushlog.operators.cluster import BROADCAST_BYTES
+from hushlog.operators.report_chain import reports_by_time
 from hushlog.operators.traces import cleaned
 from hushlog.schemas import CONSOLE, KEY
 
-# Rows of one run: consecutive suppressed rows of one burst.
-_RUN = [*KEY, "life_no", "burst_no", "run_no"]
-
 # Fixed value: longest message quoted in a notice.
 NOTICE_CHARS = 100
 # Fixed value: loggers with this prefix get no notice of their own.
@@ -35,17 +28,28 @@ CONSOLE_LOGGER_PREFIX = "System."
 def mark_reports(df: DataFrame, opts: Options = Options()) -> DataFrame:
     """Add ``report`` to decided rows: suppressed rows that emit a count notice.
 
-    With ``opts.report_by_time`` the input is read three times; hand over a written table when it
-    is expensive to compute.
+    With ``opts.report_by_time`` jobs run when called: the rows are worked out once and written to
+    the shared folder, and what follows reads the columns it needs from there.
     """
     if not opts.report_by_time:
         return df.withColumn("report", _by_count(opts))
-    suppressed = df.filter(~F.col("allowed")).withColumn(
-        "run_no", F.expr(f"n div {opts.block_rows}")
+    decided = stored(df.drop("report"), "decided")
+    place = [*KEY, "life_no", "burst_no", "n"]
+    told = reports_by_time(decided, opts).select(
+        F.struct(*(F.col(c).cast(decided.schema[c].dataType).alias(c) for c in place)).alias("lookup"),
+        F.lit(True).alias("report"),
+    )
+    # lengths of the texts plus a generous overhead per row
+    row_bytes = sum((F.coalesce(F.octet_length(f"lookup.{c}"), F.lit(0)) for c in KEY), F.lit(128))
+    size = told.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        told = F.broadcast(told)
+    return (
+        decided.withColumn("lookup", F.struct(*place))
+        .join(told, "lookup", "left")
+        .withColumn("report", F.coalesce("report", F.lit(False)))
+        .drop("lookup")
     )
-    starts = _run_starts(suppressed, opts)
-    marked = _mark_runs(suppressed, starts, opts)
-    return df.filter("allowed").withColumn("report", F.lit(False)).unionByName(marked)
 
 
 def _by_count(opts: Options):
@@ -75,165 +79,6 @@ def first_report(
     return min(by_count, by_time, len(n))
 
 
-def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
-
-
-def _run_outcomes(every: int, wait_ms: int):
-    """For each run: its possible first reports, and the last report that follows from each."""
-
-    def outcomes(table: pa.Table) -> pa.Table:
-        table = table.sort_by("n")
-        n = table["n"].to_numpy()
-        ms = table["event_ms"].to_numpy()
-        after = next_reports(n, ms, every, wait_ms)
-        # whatever was reported before the run, one of these rows reports: the count since then
-        # is reached, or the time since then has passed
-        surely = min(
-            int(np.searchsorted(ms, ms[0] + wait_ms, side="right")), every - 1, len(n) - 1
-        )
-        entry = np.arange(surely + 1)
-        last = entry
-        while True:
-            step = after[last]
-            inside = step < len(n)
-            if not inside.any():
-                break
-            last = np.where(inside, step, last)
-        out = table.slice(0, len(entry))
-        return out.append_column("last_n", pa.array(n[last])).append_column(
-            "last_ms", pa.array(ms[last])
-        )
-
-    return outcomes
-
-
-def _chain_runs(every: int, wait_ms: int):
-    """Follow the outcomes of one life's runs in order; constant memory.
-
-    Emits for each run the report that precedes it.
-    """
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reported_n = reported_ms = 0
-        burst = None
-        waiting = False
-        for batch in batches:
-            numbers = _columns(
-                batch, "n", "event_ms", "last_n", "last_ms", "burst_no", "life_start_ms"
-            )
-            new_life = batch.column("new_life").to_pylist()
-            new_run = batch.column("new_run").to_pylist()
-            starts, rows = [], []
-            for i, (n, ms, last_n, last_ms, burst_no, born_ms) in enumerate(
-                zip(*(column.tolist() for column in numbers))
-            ):
-                if new_life[i]:
-                    reported_ms, burst = born_ms, None
-                if burst_no != burst:
-                    burst, reported_n = burst_no, 0
-                if new_run[i]:
-                    rows.append(i)
-                    starts.append((reported_n, reported_ms))
-                    waiting = True
-                if waiting and (n - reported_n >= every or ms - reported_ms > wait_ms):
-                    reported_n, reported_ms, waiting = last_n, last_ms, False
-            picked = batch.select(_RUN).take(pa.array(rows, pa.int64()))
-            before_n = pa.array([s[0] for s in starts], pa.int64())
-            before_ms = pa.array([s[1] for s in starts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*picked.columns, before_n, before_ms], [*_RUN, "before_n", "before_ms"]
-            )
-
-    return chain
-
-
-def _types(df: DataFrame, names: list[str]) -> list[T.StructField]:
-    return [T.StructField(name, df.schema[name].dataType) for name in names]
-
-
-def _longs(*names: str) -> list[T.StructField]:
-    return [T.StructField(name, T.LongType()) for name in names]
-
-
-def _run_starts(suppressed: DataFrame, opts: Options) -> DataFrame:
-    """The report before each run: one row per run with ``before_n`` and ``before_ms``."""
-    every, wait_ms = max(opts.show_count_after, 1), opts.report_every_ms
-    narrow = suppressed.select(*_RUN, "life_start_ms", "n", "event_ms")
-    outcomes = narrow.groupBy(*_RUN).applyInArrow(
-        _run_outcomes(every, wait_ms),
-        T.StructType(
-            _types(narrow, _RUN) + _longs("life_start_ms", "n", "event_ms", "last_n", "last_ms")
-        ),
-    )
-    life = Window.partitionBy(*KEY, "life_no").orderBy("burst_no", "run_no", "n")
-    place = F.row_number().over(life)
-    run = F.struct("burst_no", "run_no")
-    # the window already leaves every life whole and in order, so this sort costs nothing
-    ordered = outcomes.select(
-        "*",
-        (place == 1).alias("new_life"),
-        F.coalesce(F.lag(run).over(life) != run, F.lit(True)).alias("new_run"),
-    ).sortWithinPartitions(*KEY, "life_no", "burst_no", "run_no", "n")
-    return ordered.mapInArrow(
-        _chain_runs(every, wait_ms),
-        T.StructType(_types(narrow, _RUN) + _longs("before_n", "before_ms")),
-    )
-
-
-def _follow_runs(every: int, wait_ms: int):
-    """Mark the reports of runs that arrive in order, each behind a row with its start."""
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reported_n = reported_ms = 0
-        for batch in batches:
-            n, ms, is_row, before_n, before_ms = _columns(
-                batch, "n", "event_ms", "is_row", "before_n", "before_ms"
-            )
-            report = np.zeros(len(batch), dtype=bool)
-            heads = np.flatnonzero(is_row == 0)
-            edges = np.concatenate([heads, [len(batch)]])
-            spans = [(0, int(edges[0]), None)] if edges[0] > 0 else []
-            spans += [(int(h) + 1, int(e), int(h)) for h, e in zip(heads, edges[1:])]
-            for begin, end, head in spans:
-                if head is not None:
-                    reported_n, reported_ms = int(before_n[head]), int(before_ms[head])
-                if begin == end:
-                    continue
-                here_n, here_ms = n[begin:end].astype(np.int64), ms[begin:end].astype(np.int64)
-                at = first_report(here_n, here_ms, reported_n, reported_ms, every, wait_ms)
-                after = next_reports(here_n, here_ms, every, wait_ms)
-                while at < len(here_n):
-                    report[begin + at] = True
-                    reported_n, reported_ms = int(here_n[at]), int(here_ms[at])
-                    at = int(after[at])
-            keep = np.flatnonzero(is_row == 1)
-            out = batch.append_column("report", pa.array(report)).take(pa.array(keep))
-            yield out.drop_columns(["is_row", "before_n", "before_ms"])
-
-    return follow
-
-
-def _mark_runs(suppressed: DataFrame, starts: DataFrame, opts: Options) -> DataFrame:
-    every, wait_ms = max(opts.show_count_after, 1), opts.report_every_ms
-    columns = [c for c in suppressed.columns if c != "run_no"]
-    mixed = (
-        suppressed.withColumn("is_row", F.lit(1))
-        .unionByName(starts.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
-        .withColumn("before_n", F.coalesce("before_n", F.lit(0).cast("long")))
-        .withColumn("before_ms", F.coalesce("before_ms", F.lit(0).cast("long")))
-        .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-        .withColumn("event_ms", F.coalesce("event_ms", F.lit(0).cast("long")))
-    )
-    # a run and its leading row meet in one partition, in order
-    sorted_runs = mixed.repartition(*_RUN).sortWithinPartitions(*_RUN, "is_row", "n").drop("run_no")
-    fields = [sorted_runs.schema[c] for c in columns]
-    return sorted_runs.select(*columns, "is_row", "before_n", "before_ms").mapInArrow(
-        _follow_runs(every, wait_ms),
-        T.StructType([*fields, T.StructField("report", T.BooleanType())]),
-    )
-
-
 def with_notice(df: DataFrame, opts: Options = Options()) -> DataFrame:
     """Add ``text`` to marked rows: the notice a report shows, null where none is shown.
 
