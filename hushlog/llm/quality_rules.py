@@ -1,25 +1,29 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
-A rule is a boolean column over the text. Its unit costs are fixed; a sample of the table tells how
-much text a rule has to look at and which rules reject what others leave. The rules then run in the
-order of rejection per cost inside one ``CASE``, so that most bad texts meet only cheap rules.
-The order never changes which texts are kept.
+A rule is a boolean column over the text. A written sample of the table is put to every rule, which
+gives its cost (measured, one small job a rule) and shows which rules reject what others leave. The
+rules then run in the order of rejection per cost inside one ``CASE``, so that most bad texts meet
+only cheap rules. The order never changes which texts are kept.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushlog.functions.checkpoints import forget, stored
 from hushlog.llm.arrow import without
 
 WHITE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-#: The sample that orders the rules; it has no part in any verdict.
-SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 1000
+#: Rows expected in the sample that orders the rules; it has no part in any verdict.
+SAMPLE_ROWS = 1000
+#: A rule's cost is the least time of this many runs over the sample.
+RUNS = 3
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -111,12 +115,10 @@ MEASURES: dict[str, Callable[[Column], Column]] = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is never null; costs are microseconds for a kilobyte of text and for a word."""
+    """``rejects`` is never null."""
 
     name: str
     rejects: Callable[[Column], Column]
-    per_kb: float
-    per_word: float = 0.0
     base: bool = False
 
 
@@ -161,44 +163,56 @@ def _lines_share(pattern: str, per_cent: int) -> Callable[[Column], Column]:
 
 #: In the order of explanation: thresholds are shares in per cent.
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", lambda t: n_words(t) < 10, 8, base=True),
-    Rule(
-        "repeated_windows", lambda t: _share(n_repeat_words(t), 20, n_words(t)), 8, 0.4, base=True
-    ),
-    Rule("symbols", lambda t: _share(n_symbols(t), 20, n_words(t)), 14),
-    Rule("shouting", _words_share(r"\A[^\p{L}]*\p{Lu}{2,}[^\p{L}]*\z", 50), 8, 0.2),
-    Rule("exclamations", lambda t: _share(_count(t, "!"), 30, n_words(t)), 12),
-    Rule("copied_lines", _copied_lines, 4),
-    Rule("odd_words", _odd_words, 18),
-    Rule("few_letters", _words_share(r"\A[^\p{L}]*\z", 50), 8, 0.1),
-    Rule("bullets", _lines_share(r"\A[ \t]*[-•*·][ \t]", 90), 4),
-    Rule("cut_lines", _lines_share(r"(\.\.\.|…)[ \t\r]*\z", 50), 4),
+    Rule("few_words", lambda t: n_words(t) < 10, base=True),
+    Rule("repeated_windows", lambda t: _share(n_repeat_words(t), 20, n_words(t)), base=True),
+    Rule("symbols", lambda t: _share(n_symbols(t), 20, n_words(t))),
+    Rule("shouting", _words_share(r"\A[^\p{L}]*\p{Lu}{2,}[^\p{L}]*\z", 50)),
+    Rule("exclamations", lambda t: _share(_count(t, "!"), 30, n_words(t))),
+    Rule("copied_lines", _copied_lines),
+    Rule("odd_words", _odd_words),
+    Rule("few_letters", _words_share(r"\A[^\p{L}]*\z", 50)),
+    Rule("bullets", _lines_share(r"\A[ \t]*[-•*·][ \t]", 90)),
+    Rule("cut_lines", _lines_share(r"(\.\.\.|…)[ \t\r]*\z", 50)),
 )
 
 
+def _sample(docs: DataFrame, text: str) -> DataFrame:
+    """About ``SAMPLE_ROWS`` texts ``t`` of the whole table, written; every task draws its own share."""
+    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    drawn = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(fraction=share, seed=11)
+    return stored(drawn, "sample")
+
+
+def _seconds(texts: DataFrame, value: Column) -> float:
+    job = texts.agg(F.sum(value.cast("long")))
+    taken = []
+    for _ in range(RUNS):
+        start = time.perf_counter()
+        job.collect()
+        taken.append(time.perf_counter() - start)
+    return min(taken)
+
+
+def rule_costs(texts: DataFrame, rules: Sequence[Rule] = RULES) -> list[float]:
+    """Seconds that each rule takes over the texts ``t``, above what reading them takes."""
+    one_task = texts.coalesce(1)
+    reading = _seconds(one_task, F.length("t"))
+    # no rule is free: less than a hundredth of the reading is not told apart
+    return [max(_seconds(one_task, r.rejects(F.col("t"))) - reading, reading / 100) for r in rules]
+
+
 def cascade_order(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> list[Rule]:
     """``rules`` by rejection per cost, each judged on the sample's texts that the ones before left.
 
-    One job over at most ``SAMPLE_ROWS`` rows; the driver gets a count for each set of rules that
-    reject the same rows. Without a sample (a tiny table) the cheapest rule comes first.
+    The driver gets times and a count for each set of rules that reject the same rows.
     """
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sample = sample.sample(fraction=SAMPLE_SHARE, seed=11).limit(SAMPLE_ROWS)
+    texts = _sample(docs, text)
     failed = F.array_compact(
         F.array(*[F.when(r.rejects(F.col("t")), F.lit(i)) for i, r in enumerate(rules)])
     )
-    seen = (
-        sample.groupBy(failed.alias("failed"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.length("t")).alias("chars"),
-            F.sum(n_words(F.col("t"))).alias("words"),
-        )
-        .collect()
-    )
-    chars = sum(s.chars for s in seen) / 1000 or 1.0
-    words = sum(s.words for s in seen) or 1
-    cost = [r.per_kb * chars + r.per_word * words for r in rules]
+    seen = texts.groupBy(failed.alias("failed")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cost = rule_costs(texts, rules)
+    forget(texts)
     left, order = list(range(len(rules))), []
     while left:
         gain = {
@@ -226,7 +240,7 @@ def with_verdict(
 
     A null text counts as empty and fails ``few_words``. Rows are judged on their own text alone,
     so repeated rows get the same verdict. Which of several failing rules is named depends on the
-    sample; ``kept`` does not. Columns of these names are replaced. An empty table stays empty.
+    sample and the times measured on it; ``kept`` does not. Columns of these names are replaced. An empty table stays empty.
     """
     ordered = cascade_order(docs, rules, text)
     judged = without(docs, ["rejected_by", "kept"]).withColumn(
