@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushlog.functions.classify import is_exception, is_trace_line
 from hushlog.options import Options
+from hushlog.streaming.waiting import as_bytes, gathered, parted, pieces, schema_of
 
 #: A century: only the end row of a stream that is run to its end lies that far ahead.
 AT_THE_END_MS = 100 * 365 * 86_400_000
@@ -23,68 +25,68 @@ _WAITING = {
     "opens": "boolean",
 }
 _OUTPUT = "source string, seq long, event_ms long, message string, n_lines long"
-_STATE = "open_seq long, open_ms long, open_text string, open_lines long, last_ms long, " + ", ".join(
-    f"{name} array<{kind}>" for name, kind in _WAITING.items()
-)
+_STATE = "open_seq long, open_ms long, open_text string, open_lines long, last_ms long, waiting binary"
 
 
 def _take(rows: pd.DataFrame, group: list | None) -> tuple[list[list], list | None]:
     """Messages that ordered lines complete, and the group left open: [seq, ms, lines]."""
     done = []
-    for row in rows.itertuples(index=False):
-        if group is not None and not row.resets:
-            group[2].append(row.line)
+    for seq, ms, line, resets, opens in zip(*(rows[name].tolist() for name in _WAITING)):
+        if group is not None and not resets:
+            group[2].append(line)
             continue
         if group is not None:
             done.append(group)
             group = None
-        if row.opens:
-            group = [row.seq, row.event_ms, [row.line]]
-        elif row.line:
-            done.append([row.seq, row.event_ms, [row.line]])
+        if opens:
+            group = [seq, ms, [line]]
+        elif line:
+            done.append([seq, ms, [line]])
     return done, group
 
 
+def _messages(source: str, done: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "source": source,
+            "seq": [g[0] for g in done],
+            "event_ms": [g[1] for g in done],
+            "message": ["\n".join(g[2]) for g in done],
+            "n_lines": [len(g[2]) for g in done],
+        }
+    )
+
+
 def _step(quiet_ms: int):
+    schema = schema_of(_WAITING)
+
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        group, last_ms, parts = None, None, []
+        group, last_ms, held = None, None, None
         if state.exists:
-            seq, ms, body, _, last_ms, *columns = state.get
+            seq, ms, body, _, last_ms, held = state.get
             if seq is not None:
                 group = [seq, ms, body.split("\n")]
-            if columns[0] is not None and len(columns[0]):
-                parts.append(pd.DataFrame(dict(zip(_WAITING, columns))))
-        if not state.hasTimedOut:
-            parts += [pdf[list(_WAITING)] for pdf in batches]
-        waiting = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=list(_WAITING))
         watermark = state.getCurrentWatermarkMs()
-        ready = waiting[waiting["event_ms"] <= watermark].sort_values(["event_ms", "seq"])
-        waiting = waiting[waiting["event_ms"] > watermark]
-        done, group = _take(ready, group)
+        rows = gathered(held, () if state.hasTimedOut else batches, schema)
+        ready, waiting = parted(rows, watermark, ["event_ms", "seq"])
+        for piece in pieces(ready):
+            done, group = _take(piece, group)
+            if done:
+                yield _messages(key[0], done)
         if len(ready):
-            last_ms = int(ready["event_ms"].iloc[-1])
+            last_ms = ready["event_ms"][-1].as_py()
         if group is not None and last_ms + quiet_ms < watermark:
-            done.append(group)
+            yield _messages(key[0], [group])
             group = None
-        if done:
-            yield pd.DataFrame(
-                {
-                    "source": key[0],
-                    "seq": [g[0] for g in done],
-                    "event_ms": [g[1] for g in done],
-                    "message": ["\n".join(g[2]) for g in done],
-                    "n_lines": [len(g[2]) for g in done],
-                }
-            )
         if group is None and not len(waiting):
             if state.exists:
                 state.remove()
             return
-        held = (None,) * 4 if group is None else (*group[:2], "\n".join(group[2]), len(group[2]))
-        state.update((*held, last_ms, *(waiting[name].tolist() for name in _WAITING)))
-        wake_ms = int(waiting["event_ms"].min()) if len(waiting) else last_ms + quiet_ms
+        open_group = (None,) * 4 if group is None else (*group[:2], "\n".join(group[2]), len(group[2]))
+        state.update((*open_group, last_ms, as_bytes(waiting)))
+        wake_ms = pc.min(waiting["event_ms"]).as_py() if len(waiting) else last_ms + quiet_ms
         state.setTimeoutTimestamp(max(wake_ms, watermark + 1))
 
     return step
