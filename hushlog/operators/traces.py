@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlog.functions.text import strip_space
@@ -27,88 +27,148 @@ FRAMEWORK_PACKAGES = (
 CALL, OWNER, PACKAGE = "(?s)^at (.*)\\([^(]*\\)$", "(?s)^(.*)\\.[^.]*$", "(?s)^(.+)\\.[^.]*$"
 #: A line break before the cause of what stands before it.
 SEGMENT = "\n(?=[\\x00-\\x09\\x0B-\\x20]*(?:Caused by:|Suppressed:))"
+CAUSE_FIRST = "^[\\x00-\\x09\\x0B-\\x20]*(?:Caused by:|Suppressed:)"
 
 
 def frames(traces: DataFrame, opts: Options = Options()) -> DataFrame:
     """Explode ``(trace_id, text)`` into one row per line, with what becomes of it.
 
-    A trace is one text value, so a window over a trace never outgrows one record.
+    A trace is one text value: what a line depends on is found in its row before it is taken apart,
+    without a shuffle.
     """
-    return _line_table(traces.filter(F.col("text") != ""), opts).drop("ends")
-
-
-def _line_table(traces: DataFrame, opts: Options) -> DataFrame:
-    """Lines of traces; a null text becomes one null line."""
     # newlines at the end are no lines of the trace
     body = F.regexp_replace(F.col("text"), "\n+\\z", "")
-    lines = traces.select(
-        "trace_id", F.posexplode_outer(F.split(body, "\n", -1)).alias("pos", "line")
-    )
-    trimmed = strip_space(F.col("line"))
-    called = F.when(
-        F.col("trimmed").startswith("at ") & F.col("trimmed").endswith(")"),
-        F.regexp_extract("trimmed", CALL, 1),
-    )
-    owner = F.regexp_extract("method", OWNER, 1)
-    package = F.regexp_extract(owner, PACKAGE, 1)
-    parsed = lines.withColumn("trimmed", trimmed).withColumn("called", called)
-    kind = (
-        F.when(
-            F.col("trimmed").startswith("Caused by:") | F.col("trimmed").startswith("Suppressed:"),
-            "cause",
+    segments = F.transform(F.split(body, SEGMENT, -1), lambda s: _parsed(F.split(s, "\n", -1), opts))
+    sizes = F.transform(F.col("segments"), lambda s: F.size(s["rows"]))
+    # the first frame past the depth limit ends the whole trace
+    stop = F.lit(None).cast("int")
+    if opts.max_depth > 0:
+        stops = F.transform(
+            F.col("segments"), lambda s, k: _lines_before(F.col("sizes"), k) + F.get(s["counted"], F.lit(opts.max_depth))
+        )
+        stop = F.array_min(stops)
+    return (
+        traces.filter(F.col("text") != "")
+        .select(
+            "trace_id",
+            segments.alias("segments"),
+            # a trace that begins with a cause has no lines before it
+            body.rlike(CAUSE_FIRST).cast("long").alias("lead"),
+        )
+        .withColumn("sizes", sizes)
+        .withColumn("stop", stop)
+        .select("trace_id", "lead", "sizes", "stop", F.posexplode("segments").alias("k", "part"))
+        .select(
+            "trace_id",
+            (F.col("lead") + F.col("k")).alias("segment"),
+            _lines_before(F.col("sizes"), F.col("k")).alias("start"),
+            "stop",
+            F.posexplode("part.rows").alias("i", "row"),
+        )
+        .withColumn("pos", F.col("start") + F.col("i"))
+        .select(
+            "trace_id",
+            "pos",
+            "segment",
+            "row.kind",
+            "row.method",
+            "row.package",
+            "row.is_dup",
+            "row.is_framework",
+            "row.depth",
+            (
+                ~F.col("row.is_dup")
+                & ~((F.col("row.kind") == "frame") & F.col("row.is_framework"))
+                & F.coalesce(F.col("pos") < F.col("stop"), F.lit(True))
+            ).alias("kept"),
+            "row.line",
         )
-        .when(F.col("trimmed").startswith("... ") & F.col("trimmed").endswith(" more"), "more")
-        .when(F.col("called").contains("."), "frame")
-        .otherwise("other")
-    )
-    parsed = (
-        parsed.withColumn("kind", kind)
-        .withColumn("method", F.when(F.col("kind") == "frame", F.col("called")))
-        .withColumn("package", F.when(F.col("kind") == "frame", package))
-    )
-    plumbing = reduce(
-        lambda a, b: a | b, [F.col("package").startswith(p) for p in FRAMEWORK_PACKAGES]
-    )
-    is_frame = F.col("kind") == "frame"
-    framework = F.coalesce(plumbing, F.lit(False)) if opts.drop_framework_frames else F.lit(False)
-    in_trace = Window.partitionBy("trace_id").orderBy("pos")
-    upto = in_trace.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = in_trace.rowsBetween(Window.unboundedPreceding, -1)
-    segmented = parsed.withColumn("is_framework", framework).withColumn(
-        "segment", F.sum((F.col("kind") == "cause").cast("long")).over(upto)
-    )
-    same = Window.partitionBy("trace_id", "segment", "method").orderBy("pos")
-    segmented = segmented.withColumn(
-        "is_dup", is_frame & ~F.col("is_framework") & (F.row_number().over(same) > 1)
-    )
-    counts = is_frame & ~F.col("is_dup") & ~F.col("is_framework")
-    in_segment = Window.partitionBy("trace_id", "segment").orderBy("pos")
-    earlier = in_segment.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = segmented.withColumn(
-        "depth",
-        F.when(counts, F.coalesce(F.sum(counts.cast("long")).over(earlier), F.lit(0))),
     )
-    past = F.coalesce(F.col("depth") >= opts.max_depth, F.lit(False)) & F.lit(opts.max_depth > 0)
-    wanted = ~F.col("is_dup") & ~(is_frame & F.col("is_framework"))
-    # the first frame past the depth limit ends the whole trace
-    ended = ranked.withColumn("past", past).withColumn(
-        "ends", F.col("past") & (F.coalesce(F.max("past").over(before), F.lit(False)) == F.lit(False))
+
+
+def _lines_before(sizes: Column, k: Column) -> Column:
+    """Lines of the first ``k`` segments."""
+    return F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda total, size: total + size)
+
+
+def _is_unwanted(package: Column) -> Column:
+    return reduce(lambda a, b: a | b, [package.startswith(p) for p in FRAMEWORK_PACKAGES])
+
+
+def _parsed(lines: Column, opts: Options) -> Column:
+    """Lines of one segment with all that is known of them, and the places of the frames that count."""
+
+    def kind(x: Column) -> Column:
+        trimmed = x["trimmed"]
+        return (
+            F.when(trimmed.startswith("Caused by:") | trimmed.startswith("Suppressed:"), "cause")
+            .when(trimmed.startswith("... ") & trimmed.endswith(" more"), "more")
+            .when(x["called"].contains("."), "frame")
+            .otherwise("other")
+        )
+
+    def package(method: Column) -> Column:
+        return F.regexp_extract(F.regexp_extract(method, OWNER, 1), PACKAGE, 1)
+
+    def framework(x: Column) -> Column:
+        return F.coalesce(_is_unwanted(x["package"]), F.lit(False)) if opts.drop_framework_frames else F.lit(False)
+
+    # each step once: the next one reads it as an element of a list
+    rows = F.transform(lines, lambda x: F.struct(x.alias("line"), strip_space(x).alias("trimmed")))
+    rows = F.transform(rows, lambda x: _with(x, ["line", "trimmed"], called=_called(x["trimmed"])))
+    rows = F.transform(rows, lambda x: _with(x, ["line", "called"], kind=kind(x)))
+    rows = F.transform(rows, lambda x: _with(x, ["line", "kind"], method=F.when(x["kind"] == "frame", x["called"])))
+    known = ["line", "kind", "method"]
+    rows = F.transform(rows, lambda x: _with(x, known, package=package(x["method"])))
+    known = [*known, "package"]
+    rows = F.transform(rows, lambda x: _with(x, known, is_framework=framework(x)))
+    known = [*known, "is_framework"]
+    # what a frame counts as: nothing if it is unwanted
+    named = F.transform(
+        F.array(rows),
+        lambda r: F.struct(r.alias("rows"), F.transform(r, lambda x: F.when(~x["is_framework"], x["method"])).alias("names")),
     )
-    cut = F.coalesce(F.max("past").over(upto), F.lit(False))
-    return ended.withColumn("kept", wanted & ~cut).select(
-        "trace_id",
-        "pos",
-        "segment",
-        "kind",
-        "method",
-        "package",
-        "is_dup",
-        "is_framework",
-        "depth",
-        "kept",
-        "ends",
-        "line",
+
+    def repeated(s: Column) -> Column:
+        # the first frame of each method, found in the list of all names
+        return F.transform(
+            s["rows"],
+            lambda x, i: _with(
+                x,
+                known,
+                counts=F.coalesce(F.array_position(s["names"], F.get(s["names"], i)) == i + 1, F.lit(False)),
+                is_dup=F.coalesce(F.array_position(s["names"], F.get(s["names"], i)) != i + 1, F.lit(False)),
+            ),
+        )
+
+    marked = F.transform(F.transform(named, repeated), _with_counted)
+    known = [*known, "is_dup"]
+    ranked = F.transform(
+        marked,
+        lambda s: F.struct(
+            F.transform(
+                s["rows"],
+                lambda x, i: _with(
+                    x, known, depth=F.when(x["counts"], F.array_position(s["counted"], i) - 1)
+                ),
+            ).alias("rows"),
+            s["counted"].alias("counted"),
+        ),
     )
+    return F.get(ranked, F.lit(0))
+
+
+def _with_counted(rows: Column) -> Column:
+    places = F.transform(rows, lambda x, i: F.when(x["counts"], i))
+    return F.struct(rows.alias("rows"), F.filter(places, lambda i: i.isNotNull()).alias("counted"))
+
+
+def _with(row: Column, keep: list[str], **more: Column) -> Column:
+    return F.struct(*(row[name].alias(name) for name in keep), *(value.alias(name) for name, value in more.items()))
+
+
+def _called(trimmed: Column) -> Column:
+    return F.when(trimmed.startswith("at ") & trimmed.endswith(")"), F.regexp_extract(trimmed, CALL, 1))
 
 
 def _segment(lines: Column, opts: Options) -> Column:

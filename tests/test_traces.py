@@ -143,3 +143,21 @@ def test_frame_table(spark):
     assert hot["shop.cart"] == (2, 1) and hot["shop"] == (1, 1)
     plan = clean_traces(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_frames_need_no_shuffle(spark):
+    text = "Caused by: a.X\n\tat p.A.b(A.java:1)\n\tat p.A.b(A.java:2)\n\n Suppressed: y\n\tat p.A.b(A.java:3)\n\tat q.C.d(C.java:4)"
+    traces = spark.createDataFrame([("t", text)], "trace_id string, text string").repartition(2, "text")
+    table = frames(traces, Options(max_depth=1))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    got = [(r.pos, r.segment, r.kind, r.is_dup, r.depth, r.kept) for r in table.orderBy("pos").collect()]
+    assert got == [
+        (0, 1, "cause", False, None, True),
+        (1, 1, "frame", False, 0, True),
+        (2, 1, "frame", True, None, False),
+        (3, 1, "other", False, None, True),
+        (4, 2, "cause", False, None, True),
+        (5, 2, "frame", False, 0, True),
+        (6, 2, "frame", False, 1, False),
+    ]
