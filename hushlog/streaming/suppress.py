@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +22,7 @@ from hushlog.functions import classify
 from hushlog.operators.reports import first_report, next_reports
 from hushlog.options import Options
 from hushlog.schemas import KEY, ORDER
+from hushlog.streaming.waiting import as_bytes, gathered, parted, pieces, schema_of
 
 _WAITING = {
     "kind": "string",
@@ -38,9 +40,7 @@ _OUTPUT = (
     + ", ".join(f"{name} {kind}" for name, kind in _WAITING.items())
     + ", n long, first_ms long, duration_ms long, allowed boolean, report boolean"
 )
-_STATE = "last_ms long, first_ms long, n long, told_ms long, told_n long, " + ", ".join(
-    f"{name} array<{kind}>" for name, kind in _WAITING.items()
-)
+_STATE = "last_ms long, first_ms long, n long, told_ms long, told_n long, waiting binary"
 
 
 def advance(
@@ -86,25 +86,20 @@ def advance(
 
 
 def _step(opts: Options):
-    empty = pd.DataFrame({name: [] for name in _WAITING})
+    schema = schema_of(_WAITING)
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        known, parts = None, []
+        known, held = None, None
         if state.exists:
-            values = state.get
-            known = None if values[0] is None else tuple(values[:5])
-            if values[5] is not None and len(values[5]):
-                parts.append(pd.DataFrame(dict(zip(_WAITING, values[5:]))))
-        if not state.hasTimedOut:
-            parts += [pdf[list(_WAITING)] for pdf in batches]
-        waiting = pd.concat(parts, ignore_index=True) if parts else empty
+            *values, held = state.get
+            known = None if values[0] is None else tuple(values)
         watermark = state.getCurrentWatermarkMs()
-        ready = waiting[waiting["event_ms"] <= watermark].sort_values(ORDER)
-        waiting = waiting[waiting["event_ms"] > watermark]
-        if len(ready):
-            known, decided = advance(known, ready, opts)
+        rows = gathered(held, () if state.hasTimedOut else batches, schema)
+        ready, waiting = parted(rows, watermark, ORDER)
+        for piece in pieces(ready):
+            known, decided = advance(known, piece, opts)
             decided.insert(0, KEY[0], key[0])
             decided.insert(1, KEY[1], key[1])
             decided.insert(2, KEY[2], key[2])
@@ -113,9 +108,8 @@ def _step(opts: Options):
             if state.exists:
                 state.remove()
             return
-        columns = [waiting[name].tolist() for name in _WAITING]
-        state.update((*(known or (None,) * 5), *columns))
-        wake_ms = int(waiting["event_ms"].min()) if len(waiting) else known[0] + opts.idle_ms
+        state.update((*(known or (None,) * 5), as_bytes(waiting)))
+        wake_ms = pc.min(waiting["event_ms"]).as_py() if len(waiting) else known[0] + opts.idle_ms
         state.setTimeoutTimestamp(max(wake_ms, watermark + 1))
 
     return step
@@ -128,8 +122,10 @@ def suppress_stream(
 
     Near copies are merged by joining the batch job's leader table before this step.
     """
-    rows = keyed.withColumn("threshold", classify.threshold(F.col("level"), opts)).withWatermark(
-        "event_ts", delay
+    rows = (
+        keyed.withColumn("threshold", classify.threshold(F.col("level"), opts))
+        .select(*KEY, *_WAITING, "event_ts")
+        .withWatermark("event_ts", delay)
     )
     return rows.groupBy(*KEY).applyInPandasWithState(
         _step(opts), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
