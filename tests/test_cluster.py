@@ -130,3 +130,34 @@ def test_no_templates(spark):
         [("l", None, "", 1)], "logger string, level string, template string, first_ms long"
     )
     assert [tuple(r) for r in cluster_templates(alone).collect()] == [("l", None, "", "")]
+
+
+def test_few_rounds_where_little_is_alike(spark, monkeypatch):
+    from hushlog.operators import cluster
+
+    settled, sizes = cluster._settle_batch, []
+
+    def counted(batch, *given):
+        sizes.append(batch.count())
+        return settled(batch, *given)
+
+    monkeypatch.setattr(cluster, "_settle_batch", counted)
+    monkeypatch.setattr(cluster, "FIRST_BATCH", 16)
+    monkeypatch.setattr(cluster, "DENSE_BATCH", 16)
+    rng = random.Random(3)
+    rows = [("l", "INFO", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30)), i) for i in range(600)]
+    stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
+    got = cluster_templates(stats).filter("template = leader_template").count()
+    assert got == len(rows) and sizes == [16, 64, 256, 264]
+
+
+def test_similar_texts_share_the_grams_they_must(spark):
+    rng, rows = random.Random(11), {}
+    for n in [3, 6, 7, 13, 14, 20, 27, 34] * 2:
+        text = "".join(rng.choices("abcd", k=n))
+        for edits in range(2 + n * 15 // 100):
+            rows["l", "INFO", mutated(rng, text, edits)] = len(rows)
+    rows = [(*key, first) for key, first in rows.items()]
+    stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
+    got = {(r.logger, r.level, r.template): r.leader_template for r in cluster_templates(stats).collect()}
+    assert got == first_come(rows, Options())
