@@ -161,3 +161,14 @@ def test_similar_texts_share_the_grams_they_must(spark):
     stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
     got = {(r.logger, r.level, r.template): r.leader_template for r in cluster_templates(stats).collect()}
     assert got == first_come(rows, Options())
+
+
+def test_distances_are_spread_over_tasks(spark):
+    from hushlog.operators import cluster
+
+    texts = [("n", 0, 1, "abcdefghijklmnopqrst"), ("n", 1, 2, "abcdefghijklmnopqrsu")]
+    nodes = spark.createDataFrame(texts, "block string, id long, first_ms long, template string")
+    nodes = nodes.withColumn("len", F.char_length("template"))
+    pairs = cluster._similar_by_text(nodes, nodes, cluster._gram_keys(nodes, Options()), Options())
+    assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
