@@ -92,7 +92,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble_messages(views.raw_lines(spark, sf_dir), LINES)
+    return assemble_messages(views.raw_lines(spark, sf_dir, in_blocks=True), LINES, block="block")
 
 
 def _console(spark: SparkSession, sf_dir: str) -> DataFrame:

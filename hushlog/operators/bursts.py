@@ -83,6 +83,11 @@ def _with_cell(df: DataFrame, opts: Options) -> DataFrame:
     )
 
 
+def _spot(*place: str) -> Column:
+    """Hash of a key and a place in it: leading the key, it decides most comparisons of a sort."""
+    return F.xxhash64(*KEY, *place)
+
+
 def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     """One row per key and cell with its place in the key's bursts.
 
@@ -91,15 +96,19 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     """
     # merged near copies may differ in gap length: a key has that of its first row
     gap_of_first = F.min_by("window_ms", F.struct(*ORDER))
-    cells = located.groupBy(*KEY, "cell").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("event_ms").alias("cell_first_ms"),
-        F.max("event_ms").alias("cell_last_ms"),
-        gap_of_first.alias("gap_ms"),
+    cells = (
+        located.withColumn("spot", _spot("cell"))
+        .groupBy("spot", *KEY, "cell")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min("event_ms").alias("cell_first_ms"),
+            F.max("event_ms").alias("cell_last_ms"),
+            gap_of_first.alias("gap_ms"),
+        )
     )
     width = F.lit(opts.grain_ms * MOMENTS_PER_STRETCH).cast("long")
     moment = F.col("cell.moment")
-    cells = cells.withColumn("stretch", moment - F.pmod(moment, width))
+    cells = cells.withColumn("stretch", moment - F.pmod(moment, width)).withColumn("spot", _spot("stretch"))
 
     idle = F.lit(opts.idle_ms)
     first_ms, prev_ms = F.col("cell_first_ms"), F.col("prev_ms")
@@ -111,7 +120,7 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
         return F.when(condition, value)
 
     # 1. inside a stretch
-    stretch = Window.partitionBy(*KEY, "stretch")
+    stretch = Window.partitionBy("spot", *KEY, "stretch")
     ordered = stretch.orderBy("cell")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -134,6 +143,7 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     burst_rows = marked(F.col("burst_break"), F.col("rows_before"))
     life_ms = marked(F.col("life_break"), first_ms)
     inner = inner.select(
+        "spot",
         *KEY,
         "cell",
         "stretch",
@@ -159,9 +169,10 @@ def _burst_cells(located: DataFrame, opts: Options) -> DataFrame:
     )
 
     # 2. across stretches: only first cells share a lane, other cells stay in their own stretch
-    lane = Window.partitionBy(*KEY, "lane").orderBy("cell")
+    lane = Window.partitionBy("lane_spot", *KEY, "lane").orderBy("cell")
     lane_before = lane.rowsBetween(Window.unboundedPreceding, -1)
-    heads = inner.withColumn("lane", F.when(~F.col("is_head"), F.col("stretch"))).select(
+    lanes = inner.withColumn("lane", F.when(~F.col("is_head"), F.col("stretch")))
+    heads = lanes.withColumn("lane_spot", _spot("lane")).select(
         "*",
         F.lag("all_last_ms").over(lane).alias("stretch_prev_ms"),
         F.coalesce(F.sum("all_rows").over(lane_before), F.lit(0)).alias("base_rows"),
@@ -248,7 +259,8 @@ def with_bursts(df: DataFrame, opts: Options = Options()) -> DataFrame:
     located = _with_cell(df, opts)
     leads = _burst_cells(located, opts).select(*KEY, "cell", *_CARRY, F.lit(0).alias("is_row"))
     mixed = located.withColumn("is_row", F.lit(1)).unionByName(leads, allowMissingColumns=True)
-    in_cell = Window.partitionBy(*KEY, "cell").orderBy("is_row", *ORDER)
+    mixed = mixed.withColumn("spot", _spot("cell"))
+    in_cell = Window.partitionBy("spot", *KEY, "cell").orderBy("is_row", *ORDER)
     upto = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = {name: F.first(name).over(upto) for name in _CARRY}
     placed = mixed.withColumns(
@@ -257,7 +269,7 @@ def with_bursts(df: DataFrame, opts: Options = Options()) -> DataFrame:
     return (
         placed.filter(F.col("is_row") == 1)
         .withColumn("duration_ms", F.col("event_ms") - F.col("first_ms"))
-        .drop("is_row", "n_before", "cell")
+        .drop("is_row", "n_before", "cell", "spot")
     )
 
 
