@@ -1,7 +1,7 @@
 """Bursts: gap sessions per key, the position of each row in its burst, and the decision.
 
 Rows of one key may be a third of the table, so no task ever orders a whole key.  Time is cut into
-moments no longer than the shortest gap; no burst can end inside a moment.  Per key and moment a
+moments no longer than the shortest gap, of all or of the key; no burst can end inside a moment.  Per key and moment a
 few plain aggregates (built before the shuffle) are all that is needed to find the bursts, and a
 row's position is the count before its moment plus its rank inside it.  Moments with very many rows
 are cut further, by exact time and by runs of ``seq``.
@@ -19,17 +19,44 @@ from hushlog.schemas import KEY, ORDER
 # Moments that one task orders at a time while bursts are found (a minute at the default gaps).
 MOMENTS_PER_STRETCH = 600
 
+# Keys are hashed to this many buckets that share a grain: a table of a megabyte.
+GRAIN_BUCKETS = 65_536
+
 # What a cell knows about the burst it lies in.
 _CARRY = ["burst_no", "life_no", "first_ms", "life_start_ms", "n_before"]
 
 
-def _moment(opts: Options) -> Column:
+def _span_ms(opts: Options) -> int:
+    """Width of a span, which moments of every width divide from its start on."""
+    return max(opts.grain_ms, min(opts.idle_ms, max(opts.chunk_ms, opts.coordinates_ms, 2 * opts.general_ms)))
+
+
+def _span(opts: Options) -> Column:
     # integer arithmetic; pmod keeps times before 1970 in order
-    grain = F.lit(opts.grain_ms).cast("long")
+    width = F.lit(_span_ms(opts)).cast("long")
     # rows without a time would all meet in one cell and never be told apart
     no_time = F.raise_error(F.lit("a log row has no event_ms, bursts need one"))
     ms = F.coalesce(F.col("event_ms"), no_time.cast("long"))
-    return (ms - F.pmod(ms, grain)).alias("moment")
+    return (ms - F.pmod(ms, width)).alias("span")
+
+
+def _moment(grain: Column) -> Column:
+    since = F.col("event_ms") - F.col("span")
+    return F.col("event_ms") - F.pmod(since, grain)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(GRAIN_BUCKETS)).alias("bucket")
+
+
+def key_grains(df: DataFrame, opts: Options) -> DataFrame:
+    """``(bucket, grain)``: how wide moments may be for the keys of a bucket, their shortest gap.
+
+    At most ``GRAIN_BUCKETS`` rows.  Keys whose records all have long gaps take fewer moments.
+    """
+    shortest = F.least(F.min("window_ms"), F.lit(opts.idle_ms)).cast("long")
+    grain = F.greatest(shortest, F.lit(opts.grain_ms).cast("long"))
+    return df.groupBy(_bucket()).agg(grain.alias("grain"))
 
 
 def _crowded_moments(located: DataFrame, opts: Options) -> DataFrame:
@@ -60,16 +87,48 @@ def _small(crowded: DataFrame, opts: Options) -> DataFrame:
     return F.broadcast(crowded) if opts.hot_rows >= 100_000 else crowded
 
 
-def _with_cell(df: DataFrame, opts: Options) -> DataFrame:
+def _located(
+    df: DataFrame, opts: Options, grains: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``moment``, and the part of it whose moments may be crowded.
+
+    Moments are as wide as the grain of their key, and of the finest width in spans with more than
+    ``hot_rows`` rows: a wider moment holds no more than that.
+    """
+    finest = F.lit(opts.grain_ms).cast("long")
+    spans = df.withColumn("span", _span(opts))
+    if grains is None:
+        located = spans.withColumn("moment", _moment(finest)).drop("span")
+        return located, located
+    busy = _small(
+        spans.groupBy("span")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter(F.col("rows") > opts.hot_rows)
+        .select("span", F.lit(True).alias("is_busy")),
+        opts,
+    )
+    grain = F.when(F.col("is_busy"), finest).otherwise(F.coalesce("grain", finest))
+    located = (
+        spans.join(busy, "span", "left")
+        .withColumn("bucket", _bucket())
+        .join(F.broadcast(grains), "bucket", "left")
+        .withColumn("moment", _moment(grain))
+        .drop("span", "is_busy", "bucket", "grain")
+    )
+    crowded = spans.join(busy, "span", "left_semi").withColumn("moment", _moment(finest))
+    return located, crowded
+
+
+def _with_cell(df: DataFrame, opts: Options, grains: DataFrame | None = None) -> DataFrame:
     """Add ``cell``: the moment, and for crowded moments the exact time, source and run of seq."""
-    located = df.withColumn("moment", _moment(opts))
+    located, crowded = _located(df, opts, grains)
     width = F.col("run_width")
 
     def fine(column: Column, name: str) -> Column:
         return F.when(width.isNotNull(), column).alias(name)
 
     return (
-        located.join(_small(_crowded_moments(located, opts), opts), "moment", "left")
+        located.join(_small(_crowded_moments(crowded, opts), opts), "moment", "left")
         .withColumn(
             "cell",
             F.struct(
@@ -250,13 +309,18 @@ def burst_table(df: DataFrame, opts: Options = Options()) -> DataFrame:
     return bursts.withColumn("suppressed", F.greatest(over, F.lit(0)).cast("long"))
 
 
-def with_bursts(df: DataFrame, opts: Options = Options()) -> DataFrame:
+def with_bursts(
+    df: DataFrame, opts: Options = Options(), grains: DataFrame | None = None
+) -> DataFrame:
     """Add ``life_no, burst_no, n, first_ms, duration_ms`` (and ``life_start_ms``) to keyed rows.
 
+    ``grains`` (see :func:`key_grains`, of the same rows) spares moments; they cost a pass over the
+    keys, which pays where the rows are stored.
+
     ``n`` is the row's position in its burst in ``(event_ms, source, seq)`` order.  The rows are
     shuffled and sorted once; a row holding what came before leads each cell.
     """
-    located = _with_cell(df, opts)
+    located = _with_cell(df, opts, grains)
     leads = _burst_cells(located, opts).select(*KEY, "cell", *_CARRY, F.lit(0).alias("is_row"))
     mixed = located.withColumn("is_row", F.lit(1)).unionByName(leads, allowMissingColumns=True)
     mixed = mixed.withColumn("spot", _spot("cell"))
