@@ -172,3 +172,61 @@ def test_distances_are_spread_over_tasks(spark):
     pairs = cluster._similar_by_text(nodes, nodes, cluster._gram_keys(nodes, Options()), Options())
     assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
+
+
+def test_a_text_is_compared_by_one_row(spark):
+    rng = random.Random(5)
+    syllables = ["th", "er", "on", "an", "in", "ha", "ent", "ing"]
+    rows = [("l", "INFO", "".join(rng.choices(syllables, k=40)), i) for i in range(60)]
+    stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
+    nodes = stats.select(
+        F.struct("logger", "level").alias("block"),
+        F.col("first_ms").alias("id"),
+        "first_ms",
+        "template",
+        F.char_length("template").alias("len"),
+    )
+    from hushlog.operators import cluster
+
+    assert cluster._gram_keys(nodes, Options()).count() == len(rows)
+
+
+@pytest.mark.parametrize("changes", [{}, {"similarity_threshold": 70}, {"long_text": "length_only"}])
+def test_cells_of_large_blocks(spark, monkeypatch, changes):
+    from hushlog.operators import cluster
+
+    monkeypatch.setattr(cluster, "CELL_ROWS", 5)
+    opts = Options(**changes)
+    rows = random_templates("cells" + str(changes), 120)
+    stats = spark.createDataFrame(rows, "logger string, level string, template string, first_ms long")
+    got = cluster_templates(stats.repartition(3), opts, 40).collect()
+    assert {(r.logger, r.level, r.template): r.leader_template for r in got} == first_come(rows, opts)
+
+
+@pytest.mark.parametrize("threshold", [50, 70, 85, 95])
+def test_signatures_keep_all_within_the_distance(threshold):
+    import pyarrow as pa
+
+    from hushlog.operators import cluster
+
+    rng, lefts, rights = random.Random(threshold), [], []
+    for n in [1, 2, 3, 7, 14, 21, 40, 85, 86, 170, 171, 230, 341, 700, 1400] * 6:
+        text = "".join(rng.choices("abcdé語😀 ", k=n))
+        allowed = n * (100 - threshold) // 100
+        lefts.append(text)
+        rights.append(mutated(rng, text, rng.choice([allowed, allowed // 2])))
+
+    def side(texts, first_id):
+        bits = cluster._signatures(pa.array(texts, pa.string()), cluster.gram_size(threshold))
+        ids, lens = pa.array(range(first_id, first_id + len(texts))), pa.array([len(t) for t in texts], pa.int32())
+        names = ["id", "len", "template", "bits"]
+        return cluster._Texts([pa.RecordBatch.from_arrays([ids, lens, pa.array(texts), bits], names)])
+
+    found = cluster._candidates(side(lefts, 0), side(rights, 1000), threshold)
+    pairs = {(a, b - 1000) for x in found for a, b in zip(x["left_id"].to_pylist(), x["right_id"].to_pylist())}
+    for i, (a, b) in enumerate(zip(lefts, rights)):
+        edits = abs(len(a) - len(b))
+        if b and edits * 100 <= max(len(a), len(b)) * (100 - threshold):
+            # the edits made may exceed what the longer text allows by a rounding
+            within = len(a) * (100 - threshold) // 100 <= max(len(a), len(b)) * (100 - threshold) // 100
+            assert not within or (i, i) in pairs, (a, b)
