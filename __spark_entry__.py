@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlog.functions.checkpoints import cut
 from hushlog.operators.bursts import burst_table, decide, with_bursts
 from hushlog.operators.cluster import cluster_templates
 from hushlog.operators.output import (
@@ -256,7 +255,7 @@ def surviving_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surviving_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source, near copies merged, full report rule."""
-    return quiet_log(cut(_all_sources(spark, sf_dir)), Options())
+    return quiet_log(_all_sources(spark, sf_dir), Options())
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hushlog.functions.checkpoints import cut, stored
 from hushlog.operators.bursts import decide, key_grains, with_bursts
-from hushlog.operators.cluster import cluster_templates
-from hushlog.operators.output import deduplicated
+from hushlog.operators.cluster import (
+    BROADCAST_BYTES,
+    cluster_templates,
+    numbered_leaders,
+    with_leader_number,
+)
+from hushlog.operators.output import OUTPUT, deduplicated
 from hushlog.operators.reports import mark_reports
-from hushlog.operators.route import checked, route
+from hushlog.operators.route import DENY, checked, route
 from hushlog.operators.templates import led, template_stats, with_template, with_window_class
 from hushlog.options import Options
+from hushlog.schemas import ORDER
 
 
 def decisions(
@@ -55,7 +62,35 @@ def quiet_log(
 
     ``deny`` and ``allow`` are lists of loggers as tables (see ``route``).  Runs the suppression when called and keeps the surviving rows in the shared folder.
     """
+    if opts.fuzzy:
+        return _quiet_near_copies(route(events, opts, deny, allow), opts)
     marked = decisions(events, opts, leaders_of(events, opts, deny, allow), deny, allow)
     # what survives is used more than once and is the small part of a noisy log
     kept = cut(marked.filter("allowed OR report"))
     return deduplicated(kept, route(events, opts, deny, allow), opts)
+
+
+def _quiet_near_copies(routed: DataFrame, opts: Options) -> DataFrame:
+    """``quiet_log`` with near copies merged.
+
+    The log is read and its templates are worked out once.  Bursts and reports are found on rows without
+    texts, whose key is the number of their leader; what survives takes its texts from the stored rows.
+    """
+    rows = stored(
+        with_window_class(with_template(routed.filter(F.col("route") != DENY), opts), opts)
+        .select(*OUTPUT, "route", "template", "window_ms")
+        .withColumn("row_id", F.monotonically_increasing_id()),
+        "keyed",
+    )
+    told = checked(rows)
+    numbers = numbered_leaders(template_stats(told), opts)
+    short = told.select("row_id", *ORDER, "logger", "level", "template", "window_ms")
+    keys = stored(with_leader_number(short, numbers).drop("template"), "numbered")
+    marked = mark_reports(decide(with_bursts(keys, opts, key_grains(keys, opts)), opts), opts)
+    # what survives is used more than once and is the small part of a noisy log
+    kept = cut(
+        marked.filter("allowed OR report").select("row_id", "n", "duration_ms", "allowed", "report")
+    )
+    if kept.count() * 64 <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
+    return deduplicated(told.select(*OUTPUT, "row_id").join(kept, "row_id"), rows, opts)

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from hushlog.functions import template as tpl
 from hushlog.options import Options
-from hushlog.plans.suppression import decisions
+from hushlog.operators.output import deduplicated
+from hushlog.operators.route import route
+from hushlog.plans.suppression import decisions, leaders_of, quiet_log
 from hushlog.sources.lines import assemble_messages, console_events
 
 
@@ -43,6 +45,30 @@ def test_events_get_their_templates_once(spark):
     assert taken.value == 600
 
 
+def test_events_are_read_once_where_near_copies_are_merged(spark):
+    kind = "CASE WHEN id % 3 = 0 THEN 'console' ELSE 'structured' END AS kind"
+    message = """CASE WHEN id % 29 = 0 THEN NULL WHEN id % 4 = 0 THEN concat('o', id % 7, ' took ', id, 'ms on the way')
+                 ELSE concat('a.FooException: o', id % 50, '\n\tat a.B.c(B.java:', id % 11, ')') END AS message"""
+    rows = spark.range(900).selectExpr(
+        kind,
+        "concat('s', id % 5) AS source",
+        "id AS seq",
+        "id * 3 AS event_ms",
+        "timestamp_millis(id * 3) AS event_ts",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN 'off' ELSE 'l' END AS logger",
+        "CASE WHEN id % 17 = 0 THEN NULL WHEN id % 2 = 0 THEN 'ERROR' ELSE 'INFO' END AS level",
+        message,
+    )
+    opts = Options(deny_loggers=("off",), show_count_after=10)
+    events, taken = counted(spark, rows)
+    got = sorted(map(str, quiet_log(events, opts).collect()))
+    assert taken.value == 900
+    # the same on rows that keep their texts, with leaders by text
+    marked = decisions(rows, opts, leaders_of(rows, opts))
+    assert got == sorted(map(str, deduplicated(marked, route(rows, opts), opts).collect()))
+    assert 0 < len(got) < 700 and any("suppressed" in row for row in got)
+
+
 def test_blocks_may_come_with_the_lines(spark):
     lines = console_lines(spark, 600)
     whole = assemble_messages(lines.withColumn("extra", F.col("seq") % 7)).collect()
